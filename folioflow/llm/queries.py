@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm import piece_bpe, quality_rules
 from folioflow.llm.sketch_join import jaccard_components
 
 
@@ -35,9 +36,27 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 """
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and the certified verdict for every document."""
+    verdict = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def tokenizer_model() -> str:
+    """Path of the public merge-type model; every machine has it at this place."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token count and digests of ids and decoded text for every document."""
+    return piece_bpe.digests(_table(spark, sf_dir, "documents"), tokenizer_model())
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_ngram_jaccard": op2_ngram_jaccard}
+    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op5_quality_rules": op5_quality_rules, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
