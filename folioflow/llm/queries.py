@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import piece_bpe, quality_rules
+from folioflow.llm import piece_bpe, quality_rules, secret_ledger
+from folioflow.llm.shared import new_path
 from folioflow.llm.sketch_join import jaccard_components
 
 
@@ -42,6 +43,12 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdict.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every document, scanned through a ledger that starts empty."""
+    found = secret_ledger.scan_history(_table(spark, sf_dir, "documents"), new_path(spark, "ledger"), ["doc_id"])
+    return secret_ledger.digest(found)
+
+
 def tokenizer_model() -> str:
     """Path of the public merge-type model; every machine has it at this place."""
     import public_tokenizers
@@ -56,7 +63,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op5_quality_rules": op5_quality_rules, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
