@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.llm import piece_bpe, quality_rules, secret_ledger
+from folioflow.llm.mixing import Mix
 from folioflow.llm.shared import new_path
 from folioflow.llm.sketch_join import jaccard_components
 
@@ -37,6 +38,11 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 """
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a 150 % mix of the sources takes from every document."""
+    return Mix(_table(spark, sf_dir, "documents")).taken()
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base counts and the certified verdict for every document."""
     verdict = quality_rules.judge(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
@@ -63,7 +69,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op8_sentencepiece": op8_sentencepiece}
 
 
 def oracle_sql() -> dict[str, str]:
