@@ -34,8 +34,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.llm.components import connected_components
 from folioflow.llm.shared import materialize
@@ -339,6 +340,40 @@ class ParitySketchJoin:
         return known.join(low, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "cid")
 
 
+    def one_per_component(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
+        """Return ``docs`` (those of this join) with one row for each component: that of the smallest id.
+
+        Rows with an empty set are all kept.  A fixed-size filter tells most rows
+        that stand alone without a shuffle; the others are joined exactly.
+        """
+        labels = connected_components(self.links()).withColumnRenamed("node", "cid")
+        known = self.sets.where("n > 0").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
+        groups = known.groupBy("label").count().where("count > 1").select("label")
+        shared = materialize(known.join(groups, "label").select("cid", "label").distinct(), "grouped")
+        bits = docs.sparkSession.sparkContext.broadcast(self._candidate_filter(shared.select("cid")))
+        width, names = self.width, docs.columns
+        mark = "_set"
+        while any(c.lower().startswith(mark) for c in names):
+            mark = "_" + mark
+        schema = T.StructType([*docs.schema.fields, T.StructField(mark + "_cid", T.LongType()), T.StructField(mark + "_maybe", T.BooleanType())])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for i, j, texts in slices(batch.column(text_col), fold_case=True):
+                    sets = shingle_sets(texts, width)
+                    cids = [set_id(s) for s in sets]
+                    maybe = [len(s) > 0 and may_contain(bits.value, c) for s, c in zip(sets, cids)]
+                    yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(cids, pa.int64()), pa.array(maybe, pa.bool_())], names=[*batch.schema.names, mark + "_cid", mark + "_maybe"])
+
+        rows = docs.mapInArrow(run, schema)
+        cid, maybe = F.col(mark + "_cid"), F.col(mark + "_maybe")
+        sure = rows.where(~maybe).select(*names)
+        own = shared.select(F.col("cid").alias(mark + "_own"), F.col("label").alias(mark + "_label"))
+        rest = rows.where(maybe).join(own, cid == F.col(mark + "_own"), "left").withColumn(mark + "_label", F.coalesce(mark + "_label", mark + "_cid"))
+        order = Window.partitionBy(mark + "_label").orderBy(F.col(id_col).asc_nulls_last(), mark + "_cid")
+        return sure.union(rest.withColumn(mark + "_rank", F.row_number().over(order)).where(F.col(mark + "_rank") == 1).select(*names))
+
+
 def may_contain(bits: np.ndarray, cid: int) -> bool:
     """Whether the candidate filter may hold a set id."""
     u = cid & (1 << 64) - 1
