@@ -65,72 +65,61 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share: float =
     return w.select("source", "idx", "source_size", F.when(F.col("level").isNull(), F.col("most")).otherwise(F.least("most", F.col("weight") * F.col("level"))).alias("target"))
 
 
-def _log_factorial(n: Column) -> Column:
-    z = n.cast("double") + 8
-    shift = F.log(z - 1) + F.log(z - 2) + F.log(z - 3) + F.log(z - 4) + F.log(z - 5) + F.log(z - 6) + F.log(z - 7)
-    stirling = (z - 0.5) * F.log(z) - z + 0.5 * math.log(2 * math.pi) + 1 / (12 * z) - 1 / (360 * z * z * z) + 1 / (1260 * z * z * z * z * z)
-    return stirling - shift
+def _let(name: str, value: str, body: str) -> str:
+    """SQL for ``body`` with ``name`` bound to ``value``, evaluated once."""
+    return f"element_at(transform(array({value}), {name} -> {body}), 1)"
 
 
-def _log_choose(n: Column, k: Column) -> Column:
-    return _log_factorial(n) - _log_factorial(k) - _log_factorial(n - k)
+def _log_factorial(n: str) -> str:
+    """SQL for ln n!, by Stirling's series at n + 8; the error is below 1e-10."""
+    shift = " * ".join(f"(z - {i})" for i in range(1, 8))
+    series = f"(z - 0.5D) * ln(z) - z + {0.5 * math.log(2 * math.pi)!r}D + 1 / (12D * z) - 1 / (360D * pow(z, 3)) + 1 / (1260D * pow(z, 5))"
+    return _let("z", f"double({n}) + 8D", f"{series} - ln({shift})")
 
 
-def hypergeometric(items: Column, own: Column, draws: Column, u: Column) -> Column:
-    """Draw how many of ``own`` among ``items`` are in ``draws``, by the inverse of the distribution at u.
+def _log_choose(n: str, k: str) -> str:
+    return f"({_log_factorial(n)} - {_log_factorial(k)} - {_log_factorial(f'({n}) - ({k})')})"
+
+
+def hypergeometric(items: str, own: str, draws: str, u: str) -> str:
+    """SQL that draws how many of ``own`` among ``items`` are in ``draws``, by the inverse of the distribution at u.
 
     The sum runs over ten standard deviations and ten more on both sides of the
     mean, outside of which less than 1e-20 of the distribution lies.
     """
-    n, k, m = (c.cast("double") for c in (items, own, draws))
-    safe = F.greatest(n, F.lit(1.0))
-    mean = m * k / safe
-    deviation = F.sqrt(F.greatest(mean * (1 - k / safe) * (n - m) / F.greatest(n - 1, F.lit(1.0)), F.lit(0.0)))
-    low = F.greatest(F.lit(0.0), m - (n - k), F.floor(mean - 10 * deviation - 10).cast("double"))
-    high = F.least(m, k, F.ceil(mean + 10 * deviation + 10).cast("double"))
-    first = F.exp(_log_choose(k, low) + _log_choose(n - k, m - low) - _log_choose(n, m))
-    start = F.struct(first.alias("p"), F.lit(0.0).alias("cum"), high.alias("x"), F.lit(False).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        x = x.cast("double")
-        cum = acc["cum"] + acc["p"]
-        hit = ~acc["found"] & (u < cum)
-        return F.struct(
-            (acc["p"] * (k - x) * (m - x) / ((x + 1) * F.greatest(n - k - m + x + 1, F.lit(1.0)))).alias("p"),
-            cum.alias("cum"),
-            F.when(hit, x).otherwise(acc["x"]).alias("x"),
-            (acc["found"] | hit).alias("found"),
-        )
-
-    return F.aggregate(F.sequence(low.cast("long"), high.cast("long")), start, step, lambda acc: acc["x"].cast("long"))
+    spread = "sqrt(greatest(m * k / greatest(n, 1D) * (1D - k / greatest(n, 1D)) * (n - m) / greatest(n - 1D, 1D), 0D))"
+    bounds = f"named_struct('low', greatest(0D, m - (n - k), double(floor(m * k / greatest(n, 1D) - 10D * {spread} - 10D))), 'high', least(m, k, double(ceil(m * k / greatest(n, 1D) + 10D * {spread} + 10D))))"
+    first = f"exp({_log_choose('k', 'b.low')} + {_log_choose('n - k', 'm - b.low')} - {_log_choose('n', 'm')})"
+    start = f"named_struct('p', {first}, 'cum', 0D, 'x', b.high, 'found', false)"
+    step = (
+        "named_struct('p', a.p * (k - x) * (m - x) / ((x + 1D) * greatest(n - k - m + x + 1D, 1D)), 'cum', a.cum + a.p, "
+        "'x', if(not a.found and v < a.cum + a.p, double(x), a.x), 'found', a.found or v < a.cum + a.p)"
+    )
+    walk = f"aggregate(sequence(bigint(b.low), bigint(b.high)), {start}, (a, x) -> {step}, a -> bigint(a.x))"
+    body = _let("b", bounds, walk)
+    for name, value in (("v", u), ("m", f"double({draws})"), ("k", f"double({own})"), ("n", f"double({items})")):
+        body = _let(name, value, body)
+    return body
 
 
-def _uniform(*parts: Column) -> Column:
-    return F.xxhash64(*parts).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") / float(1 << 53)
+def _uniform(*parts: str) -> str:
+    return f"(double(xxhash64({', '.join(parts)}) & {(1 << 53) - 1}L) / {1 << 53}D)"
 
 
 def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """Split (idx, quota) among ``shards`` (a power of two): rows (shard, idx, quota)."""
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct("idx", F.col("quota").cast("long").alias("quota")))).alias("own")).select(F.lit(1).cast("long").alias("node"), "own")
+    nodes = quotas.agg(F.array_sort(F.collect_list(F.struct(F.col("idx").cast("int").alias("idx"), F.col("quota").cast("long").alias("quota")))).alias("own")).selectExpr("1L AS node", "own")
+    drawn = hypergeometric("acc.items", "o.quota", "acc.draws", _uniform(str(seed), "node", "o.idx"))
+    taken = "named_struct('items', acc.items - o.quota, 'draws', acc.draws - h, 'left', concat(acc.left, array(named_struct('idx', o.idx, 'quota', h))))"
+    start = "named_struct('items', total, 'draws', bigint(floor(total / 2)), 'left', cast(array() AS array<struct<idx:int,quota:bigint>>))"
+    left = f"aggregate(own, {start}, (acc, o) -> {_let('h', drawn, taken)}, acc -> acc.left)"
+    right = "zip_with(own, side, (o, l) -> named_struct('idx', o.idx, 'quota', o.quota - l.quota))"
     for _ in range(shards.bit_length() - 1):
-        total = F.aggregate("own", F.lit(0).cast("long"), lambda a, x: a + x["quota"])
-        nodes = nodes.withColumn("total", total)
-        start = F.struct(F.col("total").alias("items"), F.floor(F.col("total") / 2).alias("draws"), F.array().cast("array<struct<idx:int,quota:bigint>>").alias("left"))
-
-        def take(acc: Column, x: Column) -> Column:
-            drawn = hypergeometric(acc["items"], x["quota"], acc["draws"], _uniform(F.lit(seed), F.col("node"), x["idx"]))
-            then = lambda h: F.struct(
-                (acc["items"] - x["quota"]).alias("items"), (acc["draws"] - h).alias("draws"), F.concat(acc["left"], F.array(F.struct(x["idx"].alias("idx"), h.alias("quota")))).alias("left")
-            )
-            return F.element_at(F.transform(F.array(drawn), then), 1)
-
-        nodes = nodes.withColumn("left", F.aggregate("own", start, take, lambda acc: acc["left"]))
-        right = F.zip_with("own", "left", lambda o, x: F.struct(o["idx"].alias("idx"), (o["quota"] - x["quota"]).alias("quota")))
-        both = F.array(F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("own")), F.struct((F.col("node") * 2 + 1).alias("node"), right.alias("own")))
-        nodes = nodes.select(F.explode(both).alias("c")).select("c.node", "c.own")
-    return nodes.select((F.col("node") - shards).alias("shard"), F.explode("own").alias("o")).select("shard", "o.idx", "o.quota")
+        nodes = nodes.selectExpr("node", "own", "aggregate(own, 0L, (t, o) -> t + o.quota) AS total").selectExpr("node", "own", f"{left} AS side")
+        nodes = nodes.selectExpr(f"inline(array(named_struct('node', 2 * node, 'own', side), named_struct('node', 2 * node + 1, 'own', {right})))")
+    return nodes.selectExpr(f"node - {shards} AS shard", "inline(own) AS (idx, quota)")
 
 
 class Mix:

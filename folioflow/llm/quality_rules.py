@@ -185,7 +185,7 @@ def fit_cutoffs(features: DataFrame, labels: DataFrame, max_false_rejection: flo
     bins = _bins("")
     long = known.where("half = 0").select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bins[r].alias("bin")) for r in RULES))).alias("x"))
     hist: dict[tuple[int, str], np.ndarray] = {}
-    for row in long.groupBy("stratum", "x.rule", "x.bin").count().toLocalIterator():
+    for row in long.groupBy("stratum", "x.rule", "x.bin").count().collect():
         hist.setdefault((row["stratum"], row["rule"]), np.zeros(BINS + 2, np.int64))[row["bin"]] += row["count"]
     proposed = []
     for s in STRICTNESS:
