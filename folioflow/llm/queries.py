@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import piece_bpe, quality_rules, secret_ledger
+from folioflow.llm import pair_rank, piece_bpe, ppm_langid, quality_rules, secret_ledger
 from folioflow.llm.mixing import Mix
 from folioflow.llm.shared import new_path
 from folioflow.llm.sketch_join import jaccard_components
@@ -55,6 +55,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_ledger.digest(found)
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by frozen context trees."""
+    docs = _table(spark, sf_dir, "documents")
+    got = ppm_langid.predict(docs, ppm_langid.fit(docs))
+    return got.select("doc_id", ppm_langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
+def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairwise-learned quality score of every document."""
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    got = pair_rank.score(docs, pair_rank.fit(docs, labels))
+    return got.select("doc_id", ppm_langid.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def tokenizer_model() -> str:
     """Path of the public merge-type model; every machine has it at this place."""
     import public_tokenizers
@@ -69,7 +83,7 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op8_sentencepiece": op8_sentencepiece}
+    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op7_language_id": op7_language_id, "op8_sentencepiece": op8_sentencepiece, "op10_quality_ranking": op10_quality_ranking}
 
 
 def oracle_sql() -> dict[str, str]:
