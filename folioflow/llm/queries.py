@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from folioflow.llm import pair_rank, piece_bpe, ppm_langid, quality_rules, secret_ledger
+from folioflow.llm import chat_repair, collision_ann, license_scan, pair_rank, piece_bpe, ppm_langid, quality_rules, secret_ledger
 from folioflow.llm.mixing import Mix
 from folioflow.llm.shared import new_path
 from folioflow.llm.sketch_join import jaccard_components
@@ -17,6 +17,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repaired role, action and rendered text of every turn of every conversation."""
+    got = chat_repair.repair(_table(spark, sf_dir, "conversations"))
+    return got.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "action", "inserted", "new_role", "rendered")
+
+
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shingle set size and component of every document at 4 words and 85 %."""
     return jaccard_components(_table(spark, sf_dir, "documents"), width=4, num=85, den=100).select("doc_id", F.col("n_shingles").cast("long"), "component_id")
@@ -38,6 +44,12 @@ FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_
 """
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence paragraphs of all documents, by a classifier that templates confirm."""
+    docs = _table(spark, sf_dir, "documents")
+    return license_scan.scan(docs, license_scan.LicenseModel(spark, docs))
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that a 150 % mix of the sources takes from every document."""
     return Mix(_table(spark, sf_dir, "documents")).taken()
@@ -62,6 +74,11 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", ppm_langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+def op9_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every 50th vector among all."""
+    return collision_ann.neighbours(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_quality_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairwise-learned quality score of every document."""
     docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
@@ -83,7 +100,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name to query."""
-    return {"op2_ngram_jaccard": op2_ngram_jaccard, "op4_source_mix": op4_source_mix, "op5_quality_rules": op5_quality_rules, "op6_secret_scan": op6_secret_scan, "op7_language_id": op7_language_id, "op8_sentencepiece": op8_sentencepiece, "op10_quality_ranking": op10_quality_ranking}
+    found = (op1_chat_repair, op2_ngram_jaccard, op3_license_scan, op4_source_mix, op5_quality_rules, op6_secret_scan, op7_language_id, op8_sentencepiece, op9_collision_ann, op10_quality_ranking)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -274,7 +274,7 @@ class ParitySketchJoin:
         spots = cids.select(F.explode(F.array(*(F.struct(F.shiftrightunsigned("cid", 8 + 17 * i).bitwiseAND(w - 1).alias("w"), F.shiftrightunsigned("cid", 2 + 6 * i).bitwiseAND(63).cast("int").alias("b")) for i in range(2)))).alias("x"))
         rows = spots.select("x.w", F.expr("shiftleft(1L, x.b)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
         out = np.zeros(w, np.int64)
-        for r in rows.toLocalIterator():
+        for r in rows.collect():  # at most FILTER_WORDS rows
             out[r["w"]] = r["v"]
         return out
 
