@@ -34,7 +34,7 @@ def close_ranges(entries: DataFrame, last_page: int = 400) -> DataFrame:
     end = F.greatest("start", F.coalesce(F.col("next") - 1, F.col("next_chapter") - 1, F.lit(last_page)))
     closed = rows.join(following, ["doc_id", "chapter_ord"]).withColumn("end", end)
     title = Window.partitionBy("doc_id", "chapter")
-    closed = closed.withColumn("place", F.min("chapter_ord").over(title)).where(F.col("chapter_ord") == F.max("chapter_ord").over(title))
+    closed = closed.withColumn("place", F.min("chapter_ord").over(title)).withColumn("kept", F.max("chapter_ord").over(title)).where(F.col("chapter_ord") == F.col("kept"))
     return closed.select("doc_id", F.col("place").alias("chapter_ord"), "chapter", F.col("section_seq").alias("section_ord"), "section", "start", "end")
 
 
