@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.functions.text import strip
 
@@ -66,7 +67,7 @@ class _Cells(HTMLParser):
             self._close()
 
 
-@F.pandas_udf("array<array<string>>")
+@F.pandas_udf(T.ArrayType(T.ArrayType(T.StringType())))
 def table_rows(html: pd.Series) -> pd.Series:
     """The cell texts of all table rows of a page."""
 
