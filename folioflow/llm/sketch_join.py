@@ -7,15 +7,18 @@ Method.  Every shingle is a 64-bit token.  XOR-ing one bit per token gives a
 parity sketch: a token in both sets cancels, so the Hamming distance of two
 sketches never exceeds the symmetric difference of the sets, and a pair that
 links differs in at most ``k = floor((den - num) * (|A| + |B|) / (den + num))``
-bits.  The sketch (2**64 positions, kept sparsely) is cut into ``k + 1 + s``
-parts.  By the pigeonhole principle at least ``s + 1`` parts of a linked pair
+bits.  The sketch (2**64 positions, kept sparsely) is cut into ``k + m + e``
+parts.  By the pigeonhole principle at least ``m + e`` parts of a linked pair
 are equal, so an equi-join on (size band, part, content) finds every linked
 pair.  Empty parts, which unrelated sets share, are left out; a set with more
-than ``s`` of them keeps them, so that nothing is lost.  Sets belong to the band
-of their size, and to a higher band if a partner there is within reach.
-
-A folded 256-bit sketch discards most candidates before the exact check of the
-shingle sets.  Candidates are not expanded to all pairs: each bucket first
+than ``e`` of them keeps them, so that a linked pair still shares ``m`` keys.
+Sets belong to the band of their size, and to a higher band if a partner there
+is within reach.
+
+Sets with fewer than ``m`` shared keys in a band drop out of it, and so do pairs
+with fewer common ones; sets that share only a passage go that way.  A folded
+256-bit sketch discards more candidates before the exact check of the shingle
+sets.  Candidates are not expanded to all pairs: each bucket first
 offers one pair per member (to its smallest member), then only pairs whose
 components still differ, first the closest other component of each member and
 then the rest, so the components are exact.
@@ -43,7 +46,8 @@ from folioflow.llm.shared import materialize
 from folioflow.llm.textvec import U64, Texts, mix, slices, windows
 
 BAND_RATIO = 1.4
-SLACK = 0.06
+#: Parts beyond k, as a share of it, for keys that a linked pair must share.
+COMMON_SHARE = 0.08
 #: Keys that one reducer group holds on average, and that a mapper gathers.
 KEYS_PER_BUCKET = 1 << 18
 KEYS_PER_FLUSH = 400_000
@@ -84,28 +88,40 @@ class Bands:
     def __init__(self, num: int, den: int):
         self.num, self.den = num, den
         self.high = [1]
+        # The smallest sets of a band have the most empty parts: exp(-tokens per part), and half as many again.
+        least = num / den / BAND_RATIO * (den + num) / (2.4 * max(den - num, 1))
+        self.empty_share = min(1.0, 0.02 + 1.8 * math.exp(-least))
 
     def _reach(self, n: int) -> None:
         while self.high[-1] < n:
             self.high.append(max(self.high[-1] + 1, math.floor(self.high[-1] * BAND_RATIO)))
 
     def parts(self, n: int) -> Iterator[tuple[int, int, int]]:
-        """Yield (band, parts, slack) for each band that a set of size n takes part in."""
+        """Yield (band, parts, empty parts to leave out) for each band that a set of size n takes part in."""
         most = n * self.den // self.num  # the largest possible partner
         self._reach(max(n, most))
         home = int(np.searchsorted(self.high, n))
         for band in range(home, len(self.high)):
             if band > home and self.high[band - 1] + 1 > most:
                 break
-            k = 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
+            k = self._differences(band)
             if k:
-                slack = math.ceil(SLACK * (k + 1))
-                yield band, k + 1 + slack, slack
+                empty = math.ceil(self.empty_share * k)
+                yield band, k + self.common(band) + empty, empty
+
+    def _differences(self, band: int) -> int:
+        return 2 * self.high[band] * (self.den - self.num) // (self.den + self.num)
 
+    def common(self, band: int) -> int:
+        """Return how many keys of the band a linked pair shares at least."""
+        while len(self.high) <= band:
+            self._reach(self.high[-1] + 1)
+        return 1 + math.ceil(COMMON_SHARE * self._differences(band))
 
-def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
-    """Return the join keys of a sorted token set, one per band and part."""
-    keys = []
+
+def part_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]:
+    """Return the join keys of a sorted token set, one per band and part, and their bands."""
+    keys, own = [], []
     high = tokens >> U64(32)
     codes = mix(tokens + U64(0x632BE59BD9B4E019))
     for band, parts, slack in bands.parts(len(tokens)):
@@ -117,19 +133,21 @@ def part_keys(tokens: np.ndarray, bands: Bands) -> np.ndarray:
             empty = np.setdiff1d(np.arange(parts, dtype=U64), at, assume_unique=True)
             at, content = np.concatenate([at, empty]), np.concatenate([content, np.zeros(len(empty), U64)])
         keys.append(mix(content ^ mix(at + U64(band << 40))))
-    return np.concatenate(keys) if keys else np.empty(0, U64)
+        own.append(np.full(len(at), band, np.uint8))
+    return (np.concatenate(keys), np.concatenate(own)) if keys else (np.empty(0, U64), np.empty(0, np.uint8))
 
 
-def _bucketed(keys: list[np.ndarray], cids: list[int], buckets: int) -> pa.RecordBatch:
-    """Pack keys and set ids into one row per bucket: 5 bytes of key, 8 of id each."""
-    k = np.concatenate(keys)
-    c = np.repeat(np.array(cids, np.int64), [len(x) for x in keys])
+def _bucketed(keys: list[tuple[np.ndarray, np.ndarray]], cids: list[int], buckets: int) -> pa.RecordBatch:
+    """Pack keys, bands and set ids into one row per bucket: 5, 1 and 8 bytes each."""
+    k = np.concatenate([x[0] for x in keys])
+    g = np.concatenate([x[1] for x in keys])
+    c = np.repeat(np.array(cids, np.int64), [len(x[0]) for x in keys])
     b = ((k >> U64(32)) * U64(buckets)) >> U64(32)
     order = np.argsort(b, kind="stable")
-    b, k, c = b[order], k[order], c[order]
+    b, k, g, c = b[order], k[order], g[order], c[order]
     first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
     last = np.append(first[1:], len(b))
-    low = np.ascontiguousarray(k.view(np.uint8).reshape(-1, 8)[:, :5])
+    low = np.concatenate([k.view(np.uint8).reshape(-1, 8)[:, :5], g[:, None]], axis=1)
     return pa.RecordBatch.from_arrays(
         [pa.array(b[first].astype(np.int64)), pa.array([low[i:j].tobytes() for i, j in zip(first, last)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(first, last)], pa.binary())],
         names=["bucket", "keys", "cids"],
@@ -137,27 +155,26 @@ def _bucketed(keys: list[np.ndarray], cids: list[int], buckets: int) -> pa.Recor
 
 
 def _shared_keys(table: pa.Table) -> pa.Table:
-    """Of one bucket, return (key, cid, center) for each key that two sets or more have."""
-    raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 5)
+    """Of one bucket, return (key, band, cid) for each key that two sets or more have."""
+    raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
     key = np.zeros((len(raw), 8), np.uint8)
-    key[:, :5] = raw
-    key = key.view(U64).ravel()
+    key[:, :5] = raw[:, :5]
+    key, band = key.view(U64).ravel(), raw[:, 5]
     cid = np.frombuffer(b"".join(table.column("cids").to_pylist()), np.int64)
     order = np.argsort(key)
-    key, cid = key[order], cid[order]
-    same = key[1:] == key[:-1]
-    many = np.concatenate([same, [False]]) | np.concatenate([[False], same])
-    key, cid = key[many], cid[many]
+    sorted_keys = key[order]
+    same = sorted_keys[1:] == sorted_keys[:-1]
+    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+    key, band, cid = key[order], band[order], cid[order]
     order = np.lexsort((cid, key))
-    key, cid = key[order], cid[order]
+    key, band, cid = key[order], band[order], cid[order]
     if len(key):
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])
-        key, cid = key[fresh], cid[fresh]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.empty(0, np.intp)
-    count = np.diff(np.append(first, len(key)))
-    center, alone = np.repeat(cid[first], count), np.repeat(count == 1, count)
+        key, band, cid = key[fresh], band[fresh], cid[fresh]
+    same = key[1:] == key[:-1]
+    many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.empty(0, bool)
     bucket = table.column("bucket")[0].as_py()
-    return pa.table({"key": key[~alone].astype(np.int64) + (bucket << 40), "cid": cid[~alone], "center": center[~alone]})
+    return pa.table({"key": key[many].astype(np.int64) + (bucket << 40), "band": band[many].astype(np.int32), "cid": cid[many]})
 
 
 def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -233,7 +250,10 @@ class ParitySketchJoin:
         return materialize(self.docs.mapInArrow(run, "doc_id long, cid long, n long, s0 long, s1 long, s2 long, s3 long"), "sets")
 
     def _shared(self) -> DataFrame:
-        """(key, cid, center): members of all buckets with two sets or more."""
+        """(key, cid, center, common): members of all buckets with two sets or more that share enough keys.
+
+        ``common`` is how many keys a partner must share at least.
+        """
         width, num, den = self.width, self.num, self.den
         total = self.classes.agg(F.sum("n")).first()[0] or 0
         buckets = max(64, math.ceil(3 * (den - num) / (den + num) * total / KEYS_PER_BUCKET))
@@ -247,10 +267,10 @@ class ParitySketchJoin:
                             continue
                         seen.add(cid)
                         new = part_keys(tokens, bands)
-                        if len(new):
+                        if len(new[0]):
                             keys.append(new)
                             cids.append(cid)
-                            held += len(new)
+                            held += len(new[0])
                         if held >= KEYS_PER_FLUSH:
                             yield _bucketed(keys, cids, buckets)
                             keys, cids, seen, held = [], [], set(), 0
@@ -258,15 +278,26 @@ class ParitySketchJoin:
                 yield _bucketed(keys, cids, buckets)
 
         packed = self.docs.select("text").mapInArrow(emit, "bucket long, keys binary, cids binary")
-        return materialize(packed.groupBy("bucket").applyInArrow(_shared_keys, "key long, cid long, center long"), "buckets")
+        found = materialize(packed.groupBy("bucket").applyInArrow(_shared_keys, "key long, band int, cid long"), "buckets")
+        top = found.agg(F.max("band")).first()[0] or 0
+        bands = Bands(num, den)
+        need = F.element_at(F.array(*(F.lit(bands.common(i)) for i in range(top + 1))), F.col("band") + 1)
+        strong = found.groupBy("cid", "band").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("cid", "band")
+        left = found.join(strong, ["cid", "band"]).withColumn("common", need)
+        keys = left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1").select("key", "center")
+        return materialize(left.join(keys, "key").select("key", "cid", "center", "common"), "shared")
 
     def _allowed(self, pairs: DataFrame) -> DataFrame:
-        """Keep the pairs (a, b) whose sizes and folded sketches allow a link."""
+        """Keep the pairs (a, b) whose sizes, folded sketches and common keys allow a link."""
         x = self.classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(4)))
         y = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(4)))
         far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
         near = (far * (self.den + self.num) <= (self.den - self.num) * (F.col("na") + F.col("nb"))) & (self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb"))
-        return pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb")
+        pairs = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb")
+        ka = self.keys.select(F.col("cid").alias("a"), F.col("keys").alias("ka"), F.col("common").alias("ca"))
+        kb = self.keys.select(F.col("cid").alias("b"), F.col("keys").alias("kb"), F.col("common").alias("cb"))
+        pairs = pairs.join(ka, "a").join(kb, "b").where(F.size(F.array_intersect("ka", "kb")) >= F.greatest("ca", "cb"))
+        return pairs.select("a", "b", "na", "nb")
 
     def _candidate_filter(self, cids: DataFrame) -> np.ndarray:
         """Return a fixed-size Bloom filter over set ids; its false positives only cost time."""
@@ -305,11 +336,14 @@ class ParitySketchJoin:
     def links(self) -> DataFrame:
         """Return links (a, b) between set ids that span the components of all links."""
         shared = self._shared()
+        self.keys = materialize(shared.groupBy("cid").agg(F.collect_list("key").alias("keys"), F.min("common").alias("common")), "keys")
         first = shared.where("cid != center").groupBy("cid").agg(F.min("center").alias("a")).select("a", F.col("cid").alias("b"))
         tested = materialize(self._allowed(first), "pairs")
         links = self._verify(tested)
         tested = tested.select("a", "b")
-        for closest in (True, True, False):
+        plan = [True, True, False]
+        while plan:
+            closest = plan.pop(0)
             labels = connected_components(links)
             own = shared.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
             mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
@@ -317,18 +351,14 @@ class ParitySketchJoin:
             # Small buckets share a group; one of ROWS_PER_BLOCK members or more is a group of its own.
             group = F.when(F.col("m") < ROWS_PER_BLOCK, F.pmod(F.col("key"), F.lit(4096))).otherwise(F.col("key") + 4096)
             pairs = members.withColumn("group", group).groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
-            sizes = self.classes.select("cid", "n")
-            new = materialize(
-                pairs.join(tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b"))), ["a", "b"], "left_anti")
-                .join(sizes.select(F.col("cid").alias("a"), F.col("n").alias("na")), "a")
-                .join(sizes.select(F.col("cid").alias("b"), F.col("n").alias("nb")), "b"),
-                "pairs",
-            )
-            if new.isEmpty():
-                if closest:
+            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            new = materialize(self._allowed(pairs.join(both, ["a", "b"], "left_anti")), "pairs")
+            found = None if new.isEmpty() else self._verify(new)
+            if found is None or found.isEmpty():
+                plan = plan[-1:] if closest else []
+                if found is None:
                     continue
-                break
-            links = links.select("a", "b").union(self._verify(new))
+            links = links.select("a", "b").union(found)
             tested = tested.union(new.select("a", "b"))
         return links
 
