@@ -53,7 +53,11 @@ KEYS_PER_BUCKET = 1 << 18
 KEYS_PER_FLUSH = 400_000
 #: 64-bit words of the candidate filter: 1 MiB, whatever the input.
 FILTER_WORDS = 1 << 17
-ROWS_PER_BLOCK = 2048
+#: Members of a bucket that are compared at once, and of one that is a group of its own.
+ROWS_PER_BLOCK = 512
+LARGE_BUCKET = 2048
+#: Buckets up to this size are compared side by side, all buckets at a time.
+SMALL_BUCKET = 8
 
 
 def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
@@ -182,7 +186,13 @@ def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _split_pairs(num: int, den: int, closest: bool):
-    """Pairs of different components within the keys of a group, which the folded sketch allows."""
+    """Pairs of different components within the keys of a group, which the folded sketch allows.
+
+    With ``closest`` a member of a larger bucket offers only the closest other one.
+    """
+
+    def allowed(far: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        return (far * (den + num) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
 
     def run(table: pa.Table) -> pa.Table:
         key, cid, label, n = (table.column(x).to_numpy() for x in ("key", "cid", "label", "n"))
@@ -190,16 +200,24 @@ def _split_pairs(num: int, den: int, closest: bool):
         order = np.lexsort((cid, key))
         key, cid, label, n, sketch = key[order], cid[order], label[order], n[order], sketch[order]
         first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        size = np.diff(np.append(first, len(key)))
+        few = np.flatnonzero(np.repeat(size <= SMALL_BUCKET, size))
         found = []
-        for i, j in zip(first.tolist(), np.append(first[1:], len(key)).tolist()):
+        for shift in range(1, SMALL_BUCKET):
+            x, y = few[:-shift], few[shift:]
+            near = (key[x] == key[y]) & (label[x] != label[y])
+            x, y = x[near], y[near]
+            far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
+            ok = allowed(far, n[x], n[y])
+            found.append((cid[x[ok]], cid[y[ok]]))
+        large = size > SMALL_BUCKET
+        for i, j in zip(first[large].tolist(), (first + size)[large].tolist()):
             nearest = np.full((2, j - i), 1 << 20)  # distance and row of the closest other component
             for p in range(i, j, ROWS_PER_BLOCK):
                 for q in range(p, j, ROWS_PER_BLOCK):
                     a, b = slice(p, min(p + ROWS_PER_BLOCK, j)), slice(q, min(q + ROWS_PER_BLOCK, j))
                     far = _hamming(sketch[a], sketch[b])
-                    na, nb = n[a][:, None], n[b][None, :]
-                    ok = (far * (den + num) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
-                    ok &= label[a][:, None] != label[b][None, :]
+                    ok = allowed(far, n[a][:, None], n[b][None, :]) & (label[a][:, None] != label[b][None, :])
                     if closest:
                         far[~ok] = 1 << 20
                         for rows, start, table in ((a, q, far), (b, p, far.T)):
@@ -348,8 +366,8 @@ class ParitySketchJoin:
             own = shared.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
             mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
             members = own.join(mixed, "key").join(self.classes, "cid")
-            # Small buckets share a group; one of ROWS_PER_BLOCK members or more is a group of its own.
-            group = F.when(F.col("m") < ROWS_PER_BLOCK, F.pmod(F.col("key"), F.lit(4096))).otherwise(F.col("key") + 4096)
+            # Buckets share groups by their keys; one of LARGE_BUCKET members or more is a group of its own.
+            group = F.when(F.col("m") < LARGE_BUCKET, F.pmod(F.col("key"), F.lit(4096))).otherwise(F.col("key") + 4096)
             pairs = members.withColumn("group", group).groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
             both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
             new = materialize(self._allowed(pairs.join(both, ["a", "b"], "left_anti")), "pairs")
