@@ -29,6 +29,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import materialize
+
 #: Usual short notices of licence families.
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache License 2.0"],
@@ -122,7 +124,8 @@ class LicenseModel:
         self.families = [UNKNOWN, *TEMPLATES]
         self._hash = HashingTF(numFeatures=FEATURES, binary=True, inputCol="grams", outputCol="x")
         index = F.array_position(F.array(*map(F.lit, self.families)), F.col("family")).cast("double") - 1
-        rows = _counted(training_lines(spark, docs, text_col)).withColumn("label", index).repartition(4, "line")
+        # Written once, as training reads the few lines again and again, but the corpus is read once.
+        rows = _counted(materialize(training_lines(spark, docs, text_col), "lines")).withColumn("label", index)
         self.model: LogisticRegressionModel = LogisticRegression(featuresCol="x", family="multinomial", regParam=1e-4, maxIter=60).fit(self._hash.transform(rows.where("NOT held")))
         held = self.scores(rows.where("held"))
         reach = F.when(F.col("predicted") == UNKNOWN, 0.0).otherwise(F.col("probability"))
