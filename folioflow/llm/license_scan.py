@@ -56,8 +56,6 @@ OTHER = [
 ]
 #: Parts of words of which one must be in an n-gram that counts.
 STEMS = ("licen", "copyright", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "creative", "attribution", "noncommercial", "sharealike", "cc0", "cc", "spdx", "redistribut", "warrant", "permission", "reserved", "domain")
-#: A line must have one of these for its n-grams to reach a family; checked in lower case.
-GATE = ("licen", "copyright", "cc0", "spdx", "redistribut", "permission", "reserved")
 UNKNOWN = "unknown"
 FEATURES = 1 << 12
 BACKGROUND_LINES = 2000
@@ -90,17 +88,16 @@ def _stem(gram: Column) -> Column:
 
 
 def _gate(text: Column) -> Column:
-    lower = F.lower(text)
-    out = lower.contains(GATE[0])
-    for part in GATE[1:]:
-        out = out | lower.contains(part)
-    return out
+    """Whether a word, and so an n-gram, of a text has a stem; stems hold no word ends.  The text is lowered once."""
+    return F.exists(F.array(F.lower(text)), _stem)
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc_id, paragraph, line) of the lines that may reach a family."""
+    """Return (doc_id, paragraph, line) of the lines whose vector is not zero."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(_gate(F.col("text")))
-    return rows.select("doc_id", F.posexplode(F.split("text", "\n")).alias("paragraph", "line")).where(_gate(F.col("line")))
+    pieces = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda p: _gate(p["line"]))
+    # Outer, as the optimizer would else work out all pieces in the filter on texts, before the gate.
+    return rows.select("doc_id", F.explode_outer(pieces).alias("p")).where("p IS NOT NULL").select("doc_id", "p.paragraph", "p.line")
 
 
 def training_lines(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:

@@ -98,6 +98,16 @@ def test_licences(spark):
     assert got == sorted([(str(i), 1, k) for i, k in enumerate(notes)] + [("None", 0, "mit")])
 
 
+def test_licences_by_any_stem(spark):
+    notes = [
+        ("cc-by-4.0", "Available under CC BY 4.0."), ("cc-by-sa-4.0", "Published under CC BY-SA 4.0"), ("cc-by-nc-4.0", "Released under CC BY-NC 4.0."),
+        ("cc-by-4.0", "This work is available under a Creative Commons Attribution 4.0 International"),
+    ]
+    df = spark.createDataFrame([(i, f"some words here\n{t}\nmore") for i, (_, t) in enumerate(notes)] + [(10, "The gnu met the account owner\nA warranty in the domain")], "doc_id long, text string")
+    got = license_scan.scan(df, license_scan.LicenseModel(spark, df)).collect()
+    assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(i, 1, k) for i, (k, _) in enumerate(notes)]
+
+
 def test_hypergeometric_distribution(spark):
     n = 20_000
     u = mixing._uniform("id")
