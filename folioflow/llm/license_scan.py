@@ -1,6 +1,7 @@
 r"""License scan by a trained paragraph classifier.
 
-Paragraphs are the lines of a text.  Their words (letters, digits, dots within
+Paragraphs are the lines of a text, and its blocks of adjacent lines that are not
+blank, for notices that are wrapped.  Their words (letters, digits, dots within
 numbers; lower case) give the word 1-, 2- and 3-grams of a multinomial logistic
 regression over licence families and ``unknown``; only n-grams with one of
 ``STEMS`` in a word count, so a paragraph without any is the zero vector and is
@@ -26,7 +27,7 @@ import re
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.shared import materialize
@@ -93,11 +94,22 @@ def _gate(text: Column) -> Column:
 
 
 def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc_id, paragraph, line) of the lines whose vector is not zero."""
+    """Return (doc_id, text_hash, block, whole, paragraph, line) of the lines and blocks whose vector is not zero.
+
+    A block is a run of adjacent lines that are not blank, ``block`` its first line's
+    number; a whole block, joined by spaces, is a row besides its lines if it has several.
+    """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).where(_gate(F.col("text")))
-    pieces = F.filter(F.transform(F.split("text", "\n"), lambda x, i: F.struct(i.alias("paragraph"), x.alias("line"))), lambda p: _gate(p["line"]))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), F.split("text", "\n").alias("lines"))
+    rows = rows.withColumn("full", F.transform("lines", lambda x: x.rlike(r"\S")))
+    edge = lambda step, end: F.expr(f"filter(sequence(0, size(full) - 1), i -> full[i] AND (i = {end} OR NOT full[i + {step}]))")
+    rows = rows.select("doc_id", "text_hash", "lines", F.arrays_zip(edge(-1, "0").alias("a"), edge(1, "size(full) - 1").alias("b")).alias("blocks"))
+    piece = "named_struct('block', k.a, 'whole', {}, 'paragraph', {}, 'line', {})"
+    whole, line = piece.format("true", "k.a", "array_join(slice(lines, k.a + 1, k.b - k.a + 1), ' ')"), piece.format("false", "i", "lines[i]")
+    pieces = F.expr(f"flatten(transform(blocks, k -> concat(transform(if(k.b > k.a, array(0), cast(array() AS array<int>)), z -> {whole}), transform(sequence(k.a, k.b), i -> {line}))))")
     # Outer, as the optimizer would else work out all pieces in the filter on texts, before the gate.
-    return rows.select("doc_id", F.explode_outer(pieces).alias("p")).where("p IS NOT NULL").select("doc_id", "p.paragraph", "p.line")
+    rows = rows.select("doc_id", "text_hash", F.explode_outer(F.filter(pieces, lambda p: _gate(p["line"]))).alias("p")).where("p IS NOT NULL")
+    return rows.select("doc_id", "text_hash", "p.*")
 
 
 def training_lines(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -155,8 +167,29 @@ def _overlap() -> Column:
     return best
 
 
+def _own_pairs(family: Column) -> Column:
+    """The word pairs of all templates of a family."""
+    out = F.array().cast("array<string>")
+    for name, templates in TEMPLATES.items():
+        out = F.when(family == name, F.array(*(F.lit(p) for p in dict.fromkeys(p for t in templates for p in _word_pairs(t))))).otherwise(out)
+    return out
+
+
 def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return (doc_id, paragraph, family, probability, overlap) of every confirmed licence paragraph."""
+    """Return (doc_id, paragraph, family, probability, overlap) of every confirmed licence paragraph.
+
+    A block is reported at its first line, unless a line of it shows the same family.
+    A line is not, if its block shows another family by a larger overlap and a template
+    of that one has all that the line shares with its own: it is a piece of that notice.
+    """
     rows = model.scores(_counted(paragraphs(docs, id_col, text_col))).withColumn("pairs", _grams("words", 2))
     rows = rows.where((F.col("predicted") != UNKNOWN) & (F.col("probability") >= model.cutoff)).withColumn("overlap", _overlap())
-    return rows.where(F.col("overlap") >= CONFIRM).select("doc_id", "paragraph", F.col("predicted").alias("family"), "probability", "overlap")
+    # Rows with equal ids and texts show the same, so that they may share a window.
+    rows = rows.where(F.col("overlap") >= CONFIRM).withColumn("shared", F.array_intersect("pairs", _own_pairs(F.col("predicted"))))
+    block = Window.partitionBy("doc_id", "text_hash", "block")
+    rows = rows.withColumn("of_block", F.max(F.when(F.col("whole"), F.struct("overlap", "predicted"))).over(block))
+    other = F.col("of_block.predicted")
+    piece = ~F.col("whole") & (other != F.col("predicted")) & (F.col("of_block.overlap") > F.col("overlap")) & (F.size(F.array_except("shared", _own_pairs(other))) == 0)
+    rows = rows.where(~F.coalesce(piece, F.lit(False)))
+    rows = rows.withColumn("of_lines", F.collect_set(F.when(~F.col("whole"), F.col("predicted"))).over(block))
+    return rows.where(~F.col("whole") | ~F.array_contains("of_lines", F.col("predicted"))).select("doc_id", "paragraph", F.col("predicted").alias("family"), "probability", "overlap")

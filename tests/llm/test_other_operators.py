@@ -108,6 +108,15 @@ def test_licences_by_any_stem(spark):
     assert sorted((r.doc_id, r.paragraph, r.family) for r in got) == [(i, 1, k) for i, (k, _) in enumerate(notes)]
 
 
+def test_wrapped_licences(spark):
+    gpl = "# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version."
+    bsd = " * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:"
+    rows = [(0, f"first line\n\n{gpl}\n\nlast"), (1, f"first\n \n{bsd}"), (1, f"first\n \n{bsd}"), (None, bsd), (2, f"Released under the MIT License.\n{bsd}"), (3, "He lost his\nfishing license\nlast year"), (4, "\n\n")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(df, license_scan.LicenseModel(spark, df)).collect()
+    assert sorted((str(r.doc_id), r.paragraph, r.family) for r in got) == [("0", 2, "gpl-3.0"), ("1", 2, "bsd"), ("1", 2, "bsd"), ("2", 0, "bsd"), ("2", 0, "mit"), ("None", 0, "bsd")]
+
+
 def test_hypergeometric_distribution(spark):
     n = 20_000
     u = mixing._uniform("id")
