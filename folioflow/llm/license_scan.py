@@ -9,9 +9,10 @@ unknown by construction, and such paragraphs are dropped before the classifier.
 
 The model is trained by ``pyspark.ml`` on the notices below, whole, cut and
 embedded in other words, against sentences that use the same words otherwise and
-a bounded sample of the corpus's own lines.  Calibration: the cutoff on the
-family's probability is the smallest one on a grid at which at most
-``FALSE_SHARE`` of held-back unknown paragraphs reach a family.  A prediction
+bounded samples of the corpus's own lines, both without any stem and as they are
+scanned, where no template matches.  Calibration: the cutoff on the family's
+probability is the smallest one on a grid at which at most ``FALSE_SHARE`` of
+held-back unknown paragraphs reach a family, of the scanned ones and of the rest.  A prediction
 counts only if it reaches the cutoff and a template of its family confirms it:
 at least ``CONFIRM`` of the template's word pairs are in the paragraph.
 
@@ -71,14 +72,20 @@ def words(text: Column) -> Column:
 
 
 def _grams(name: str, n: int) -> Column:
-    """The n-grams of an array of words, joined by spaces."""
-    return F.expr(f"IF(size({name}) >= {n}, transform(sequence(1, size({name}) - {n - 1}), i -> array_join(slice({name}, i, {n}), ' ')), cast(array() AS array<string>))")
+    """The n-grams of an array of words, joined by spaces.  By places, as slice() walks the whole array each time."""
+    own = ", ".join(f"{name}[i + {k}]" for k in range(n))
+    return F.expr(f"IF(size({name}) >= {n}, transform(sequence(0, size({name}) - {n}), i -> concat_ws(' ', {own})), cast(array() AS array<string>))")
+
+
+def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """Add a column that is worked out once a row: later filters, which use it often, do not go below the generator."""
+    return df.withColumn(name, F.explode_outer(F.array(value)))
 
 
 def _counted(df: DataFrame) -> DataFrame:
     """Add ``words`` and the n-grams that count, from ``line``."""
-    df = df.withColumn("words", words(F.col("line")))
-    return df.withColumn("grams", F.filter(F.concat(*(_grams("words", n) for n in (1, 2, 3))), _stem))
+    df = _once(df, "words", words(F.col("line")))
+    return _once(df, "grams", F.filter(F.concat(*(_grams("words", n) for n in (1, 2, 3))), _stem))
 
 
 def _stem(gram: Column) -> Column:
@@ -113,7 +120,11 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def training_lines(spark: SparkSession, docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """Return (family, line, held): notices, altered notices and unknown lines; bounded in size."""
+    """Return (family, line, scanned, held): notices, altered notices and unknown lines; bounded in size.
+
+    ``scanned`` rows are lines and blocks of the corpus as scan() scores them, of blocks
+    that no template matches.
+    """
     around = [("", ""), ("the following holds. ", ""), ("", " see the file for details"), ("copy and use of this text: ", " and so on"), ("note: ", ".")]
     rows = [(family, a + t + b) for family, ts in TEMPLATES.items() for t in ts for a, b in around]
     rows += [(UNKNOWN, a + t + b) for t in OTHER for a, b in around]
@@ -123,7 +134,14 @@ def training_lines(spark: SparkSession, docs: DataFrame, text_col: str = "text")
     # A corpus line, also with a sentence of other use before it.
     odd = F.element_at(F.array(*map(F.lit, OTHER)), (F.pmod("h", F.lit(len(OTHER))) + 1).cast("int"))
     both = own.select(F.lit(UNKNOWN).alias("family"), F.explode(F.array(F.col("line"), F.concat_ws(" ", odd, F.substring("line", 1, 200)))).alias("line"))
-    return fixed.unionByName(both).withColumn("held", (F.col("family") == UNKNOWN) & (F.pmod(F.xxhash64("line"), F.lit(4)) == 0))
+    # Matched by block, so that pieces of a wrapped notice are not taken for unknown.
+    match = F.greatest(*(_share(t) for ts in TEMPLATES.values() for t in ts))
+    pieces = _once(paragraphs(docs.withColumn("_id", F.lit(0)), "_id", text_col), "words", words(F.col("line")))
+    pieces = _once(pieces, "pairs", _grams("words", 2)).withColumn("match", match)
+    pieces = pieces.withColumn("of_block", F.max("match").over(Window.partitionBy("text_hash", "block"))).where(F.col("of_block") < CONFIRM)
+    near = pieces.withColumn("h", F.xxhash64("line", F.lit(SEED))).groupBy("line").agg(F.min("h").alias("h")).orderBy("h", "line").limit(BACKGROUND_LINES)
+    found = fixed.unionByName(both).withColumn("scanned", F.lit(False)).unionByName(near.select(F.lit(UNKNOWN).alias("family"), "line", F.lit(True).alias("scanned")))
+    return found.withColumn("held", (F.col("family") == UNKNOWN) & (F.pmod(F.xxhash64("line"), F.lit(4)) == 0))
 
 
 class LicenseModel:
@@ -139,12 +157,12 @@ class LicenseModel:
         held = self.scores(rows.where("held"))
         reach = F.when(F.col("predicted") == UNKNOWN, 0.0).otherwise(F.col("probability"))
         grid = [round(0.5 + 0.01 * k, 2) for k in range(50)]
-        counts = held.agg(F.count("*").alias("n"), *(F.count_if(reach >= g).alias(f"g{i}") for i, g in enumerate(grid))).first()
-        self.cutoff = next((g for i, g in enumerate(grid) if counts[f"g{i}"] <= FALSE_SHARE * counts["n"]), 0.999)
+        counts = held.groupBy("scanned").agg(F.count("*").alias("n"), *(F.count_if(reach >= g).alias(f"g{i}") for i, g in enumerate(grid))).collect()
+        self.cutoff = next((g for i, g in enumerate(grid) if all(c[f"g{i}"] <= FALSE_SHARE * c["n"] for c in counts)), 0.999)
 
     def scores(self, rows: DataFrame) -> DataFrame:
         """Add ``predicted`` and ``probability`` to rows with ``grams``."""
-        p = self.model.transform(self._hash.transform(rows)).withColumn("p", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction", "x")
+        p = _once(self.model.transform(self._hash.transform(rows)), "p", vector_to_array("probability")).drop("probability", "rawPrediction", "prediction", "x")
         top = F.array_position("p", F.array_max("p")).cast("int")
         return p.withColumn("predicted", F.element_at(F.array(*map(F.lit, self.families)), top)).withColumn("probability", F.array_max("p")).drop("p")
 
@@ -155,15 +173,17 @@ def _word_pairs(template: str) -> list[str]:
     return list(dict.fromkeys(f"{a} {b}" for a, b in zip(own, own[1:])))
 
 
+def _share(template: str) -> Column:
+    """The share of a template's word pairs that ``pairs`` has."""
+    own = _word_pairs(template)
+    return F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col("pairs"))) / len(own)
+
+
 def _overlap() -> Column:
     """The largest share of a template's word pairs, of the predicted family, that ``pairs`` has."""
     best = F.lit(0.0)
     for family, templates in TEMPLATES.items():
-        shares = []
-        for t in templates:
-            own = _word_pairs(t)
-            shares.append(F.size(F.array_intersect(F.array(*map(F.lit, own)), F.col("pairs"))) / len(own))
-        best = F.when(F.col("predicted") == family, F.greatest(*shares)).otherwise(best)
+        best = F.when(F.col("predicted") == family, F.greatest(*map(_share, templates))).otherwise(best)
     return best
 
 
@@ -182,7 +202,7 @@ def scan(docs: DataFrame, model: LicenseModel, id_col: str = "doc_id", text_col:
     A line is not, if its block shows another family by a larger overlap and a template
     of that one has all that the line shares with its own: it is a piece of that notice.
     """
-    rows = model.scores(_counted(paragraphs(docs, id_col, text_col))).withColumn("pairs", _grams("words", 2))
+    rows = _once(model.scores(_counted(paragraphs(docs, id_col, text_col))), "pairs", _grams("words", 2))
     rows = rows.where((F.col("predicted") != UNKNOWN) & (F.col("probability") >= model.cutoff)).withColumn("overlap", _overlap())
     # Rows with equal ids and texts show the same, so that they may share a window.
     rows = rows.where(F.col("overlap") >= CONFIRM).withColumn("shared", F.array_intersect("pairs", _own_pairs(F.col("predicted"))))

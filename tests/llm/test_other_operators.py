@@ -117,6 +117,16 @@ def test_wrapped_licences(spark):
     assert sorted((str(r.doc_id), r.paragraph, r.family) for r in got) == [("0", 2, "gpl-3.0"), ("1", 2, "bsd"), ("1", 2, "bsd"), ("2", 0, "bsd"), ("2", 0, "mit"), ("None", 0, "bsd")]
 
 
+def test_licences_calibration(spark):
+    df = spark.createDataFrame([(i, f"The license of driver {i} ended\n\nLicensed under the MIT License, number {i}") for i in range(200)], "doc_id long, text string")
+    model = license_scan.LicenseModel(spark, df)
+    held = license_scan.training_lines(spark, df).where("held AND line LIKE 'The license of driver%'")
+    near = model.scores(license_scan._counted(held)).collect()
+    assert len(near) > 20 and sum(r.predicted != "unknown" and r.probability >= model.cutoff for r in near) <= 0.01 * len(near)
+    assert license_scan.training_lines(spark, df).where("family = 'unknown' AND line LIKE '%number%'").count() == 0
+    assert {(r.paragraph, r.family) for r in license_scan.scan(df, model).collect()} == {(2, "mit")}
+
+
 def test_hypergeometric_distribution(spark):
     n = 20_000
     u = mixing._uniform("id")
