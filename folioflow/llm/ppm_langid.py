@@ -14,8 +14,9 @@ so that a text is scored by table look-up over whole arrays; other strings take
 the escape path, which is also tabulated, so code lengths are exact.
 
 The sample: at most ``PER_LANGUAGE`` documents a language, those with the smallest
-hash of their id among texts of at most ``SAMPLE_CHARS`` characters; the driver
-holds no more than that.  Rows without a language or an id teach nothing.
+hash of their id among texts of at most ``SAMPLE_CHARS`` characters.  Where there are
+fewer of these, the first ``SAMPLE_CHARS`` characters of longer texts fill the sample
+up, so that every labelled language is learned; the driver holds no more.  Rows without a language or an id teach nothing.
 
 Defined edge cases: a null text, or one without a letter, is ``und`` with score
 0; without any training row every text is; ties go to the first language by
@@ -178,16 +179,17 @@ class Model:
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> Model:
     """Learn the trees from rows that are not held out; see the module's description."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= SAMPLE_CHARS))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = rows.select("doc_id", "lang").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang", "n")
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
+    rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
+    chosen = rows.select("doc_id", "lang", "long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang", "long", "n")
     picked = chosen.collect()  # at most per_language rows a language
     if len({r["lang"] for r in picked}) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not picked:
         return Model({})
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"]) for r in picked], "doc_id long, lang string").distinct()
-    texts = rows.join(F.broadcast(ids), ["doc_id", "lang"]).dropDuplicates(["doc_id", "lang", "text"]).collect()
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["long"]) for r in picked], "doc_id long, lang string, long boolean").distinct()
+    texts = rows.join(F.broadcast(ids), ["doc_id", "lang", "long"]).dropDuplicates(["doc_id", "lang", "text"]).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"].encode())

@@ -146,6 +146,17 @@ def test_language_id(spark):
     assert {x.lang_pred for x in blank.collect()} == {"und"}
 
 
+def test_language_of_long_texts(spark):
+    r = random.Random(5)
+    voc = {"en": ["the", "and", "with", "house"], "de": ["der", "und", "mit", "häuser"]}
+    text = lambda k, n: " ".join(r.choice(voc[k]) for _ in range(n))
+    rows = [(i, text("en", 30), "en") for i in range(40)] + [(i, text("de", 6000), "de") for i in range(40, 52)] + [(60, text("de", 30), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert all(len(t) > ppm_langid.SAMPLE_CHARS for _, t, k in rows if k == "de")
+    got = {x.doc_id: x.lang_pred for x in ppm_langid.predict(df, ppm_langid.fit(df)).collect()}
+    assert all(got[i] == k for i, _, k in rows[:-1]) and got[60] == "de"
+
+
 def test_ranking(spark):
     r = random.Random(4)
     rows = [(i, " ".join((f"W{r.randrange(900)}!!" if i % 4 == 0 else f"word{r.randrange(900)}") for _ in range(40)), "c") for i in range(300)] + [(400, None, ""), (401, "", "")]
