@@ -19,9 +19,9 @@ arrays; query blocks meet vector blocks pairwise, and the best of all blocks are
 merged by a group limit.  A task holds one block of each, whatever the input.
 
 Defined edge cases: vectors that are null, zero, or hold null or non-finite
-components, and rows without an id, take no part; of rows with the same id the
-smallest vector does; vectors of different lengths are not compared; ties go to
-the smaller id.
+components, and rows without an id, take no part; rows with the same id and vector
+count once, and different vectors of one id are rows of their own, each with its own
+ranks; vectors of different lengths are not compared; ties go to the smaller id.
 """
 
 from __future__ import annotations
@@ -44,11 +44,11 @@ SEED = 5
 
 
 class Block:
-    """Sorted projections of one block of vectors."""
+    """Sorted projections of one block of vectors; id and key, a hash of the vector, tell rows apart."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray):
-        order = np.argsort(ids)
-        self.ids, self.vectors = ids[order], vectors[order].astype(np.float64)
+    def __init__(self, ids: np.ndarray, keys: np.ndarray, vectors: np.ndarray):
+        order = np.lexsort((keys, ids))
+        self.ids, self.keys, self.vectors = ids[order], keys[order], vectors[order].astype(np.float64)
         self.norms = _norms(self.vectors)
         lines = np.random.default_rng(SEED).standard_normal((vectors.shape[1], PROJECTIONS))
         self.lines = lines
@@ -56,19 +56,19 @@ class Block:
         self.order = np.argsort(p, axis=1, kind="stable").astype(np.int32)
         self.sorted = np.take_along_axis(p, self.order.astype(np.int64), axis=1)
 
-    def search(self, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Return (query id, id, cosine) of up to k nearest found for each query."""
-        found = [self._some(qids[i : i + QUERIES_AT_ONCE], queries[i : i + QUERIES_AT_ONCE].astype(np.float64), k) for i in range(0, len(qids), QUERIES_AT_ONCE)]
-        return tuple(np.concatenate([f[c] for f in found]) for c in range(3))
+    def search(self, qids: np.ndarray, qkeys: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
+        """Return (query id, query key, id, key, cosine) of up to k nearest found for each query."""
+        found = [self._some(qids[i : i + QUERIES_AT_ONCE], qkeys[i : i + QUERIES_AT_ONCE], queries[i : i + QUERIES_AT_ONCE].astype(np.float64), k) for i in range(0, len(qids), QUERIES_AT_ONCE)]
+        return tuple(np.concatenate([f[c] for f in found]) for c in range(5))
 
-    def _some(self, qids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def _some(self, qids: np.ndarray, qkeys: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
         n, least = len(self.ids), math.ceil(SHARE * PROJECTIONS)
         at = (_unit(queries) @ self.lines).T
         norms = _norms(queries)
         low = np.stack([np.searchsorted(s, a) for s, a in zip(self.sorted, at)])
         high = low.copy()
         counts = np.zeros((len(qids), n), np.int16)
-        checked = self.ids[None, :] == qids[:, None]  # the query's own row is no candidate
+        checked = (self.ids[None, :] == qids[:, None]) & (self.keys[None, :] == qkeys[:, None])  # the query's own row is no candidate
         best: list[tuple[np.ndarray, np.ndarray]] = [(np.empty(0, np.int64), np.empty(0))] * len(qids)
         going, radius = list(range(len(qids))), FIRST_RADIUS
         while going:
@@ -87,14 +87,15 @@ class Block:
                     checked[q, rows] = True
                     score = (self.vectors[rows] * queries[q]).sum(axis=1) / (self.norms[rows] * norms[q])
                     rows, score = np.concatenate([best[q][0], rows]), np.concatenate([best[q][1], score])
-                    top = np.lexsort((self.ids[rows], -score))[:k]
+                    top = np.lexsort((rows, -score))[:k]  # rows are in the order of ids
                     best[q] = rows[top], score[top]
                 # Unit vectors with cosine s are sqrt(2 - 2 s) apart.
                 if not last and (len(best[q][0]) < k or 2 - 2 * best[q][1][-1] > radius * radius):
                     rest.append(q)
             low, high, going, radius = new_low, new_high, rest, radius * GROWTH
         size = [len(b[0]) for b in best]
-        return np.repeat(qids, size), self.ids[np.concatenate([b[0] for b in best])], np.concatenate([b[1] for b in best])
+        rows = np.concatenate([b[0] for b in best])
+        return np.repeat(qids, size), np.repeat(qkeys, size), self.ids[rows], self.keys[rows], np.concatenate([b[1] for b in best])
 
 
 def _norms(x: np.ndarray) -> np.ndarray:
@@ -116,23 +117,24 @@ def neighbours(vectors: DataFrame, k: int = 5, every: int = 50, id_col: str = "v
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))
     finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     rows = rows.where(F.col("vec_id").isNotNull() & F.coalesce(finite & F.exists("v", lambda x: x != 0), F.lit(False)))
-    rows = rows.groupBy("vec_id").agg(F.min("v").alias("v")).withColumn("dim", F.size("v"))
+    rows = rows.distinct().withColumn("dim", F.size("v")).withColumn("key", F.xxhash64("v"))
     asked = F.col("vec_id") % every == 0
     size = rows.agg(F.count("*").alias("n"), F.count_if(asked).alias("q")).first()
     blocks, query_blocks = max(1, math.ceil(size["n"] / BLOCK_ROWS)), max(1, math.ceil(size["q"] / BLOCK_ROWS))
-    block = lambda salt, n: F.pmod(F.xxhash64("vec_id", F.lit(salt)), F.lit(n))
+    block = lambda salt, n: F.pmod(F.xxhash64("vec_id", "key", F.lit(salt)), F.lit(n))
     every_of = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
-    data = rows.select("dim", block(1, blocks).alias("b"), every_of(query_blocks).alias("qb"), "vec_id", "v")
-    queries = rows.where(asked).select("dim", every_of(blocks).alias("b"), block(2, query_blocks).alias("qb"), "vec_id", "v")
+    data = rows.select("dim", block(1, blocks).alias("b"), every_of(query_blocks).alias("qb"), "vec_id", "key", "v")
+    queries = rows.where(asked).select("dim", every_of(blocks).alias("b"), block(2, query_blocks).alias("qb"), "vec_id", "key", "v")
+
+    names = ["query_id", "query_key", "vec_id", "key", "score"]
 
     def meet(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
-            empty = pa.array([], pa.int64())
-            return pa.table({"query_id": empty, "vec_id": empty, "score": pa.array([], pa.float64())})
-        q, v, s = Block(left.column("vec_id").to_numpy(), _matrix(left.column("v"))).search(right.column("vec_id").to_numpy(), _matrix(right.column("v")), k)
-        return pa.table({"query_id": q, "vec_id": v, "score": s})
+            return pa.table({name: pa.array([], pa.float64() if name == "score" else pa.int64()) for name in names})
+        own = [[t.column("vec_id").to_numpy(), t.column("key").to_numpy(), _matrix(t.column("v"))] for t in (left, right)]
+        return pa.table(dict(zip(names, Block(*own[0]).search(*own[1], k))))
 
     keys = ["dim", "b", "qb"]
-    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
+    found = data.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInArrow(meet, "query_id long, query_key long, vec_id long, key long, score double")
+    order = Window.partitionBy("query_id", "query_key").orderBy(F.col("score").desc(), "vec_id", "key")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -210,6 +210,16 @@ def test_neighbours(spark):
     assert collision_ann.neighbours(spark.createDataFrame([], "vec_id long, embedding array<double>")).count() == 0
 
 
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(50, [1.0, 0.0]), (50, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [0.1, 1.0]), (1, [0.1, 1.0]), (2, [-1.0, -1.0])]
+    got = collections.Counter()
+    for r in collision_ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect():
+        got[r.query_id, r.rank, r.vec_id, round(r.score, 6)] += 1
+    near, far = round(1 / 1.01**0.5, 6), round(0.1 / 1.01**0.5, 6)
+    # Each vector of 50 is a query, and the other one a candidate.
+    assert got == {(50, 1, 1, near): 2, (50, 2, 1, far): 2, (50, 3, 50, 0.0): 2, (50, 4, 2, round(-(0.5**0.5), 6)): 2}
+
+
 def test_pipeline(spark):
     data = "/root/testdata/sf0.001"
     try:
