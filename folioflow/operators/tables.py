@@ -167,12 +167,14 @@ def largest(tables: DataFrame) -> DataFrame:
 
 
 def locate(anchors: DataFrame) -> DataFrame:
-    """Return (group_id, x0, y0, x1, y1) of the best chain of anchor texts on a page.
+    """Return (group_id, x0, y0, x1, y1) of the best header and footer on a page.
 
     ``anchors`` is (group_id, kind, seq, x0, y0, x1, y1, rows) of places where a
     table's header, footer or middle cells were found.  A header and a footer below
     it are scored by the middle cells between them, 1000 each, less the difference
     of the height from 20 for each row; ties go to the upper header, then footer.
+    The middle cells are not held to an order, alignment or height, and the box is not
+    snapped to drawn lines; the README lists what is not done.
     """
     head = anchors.where("kind = 'header'").select("group_id", "rows", F.struct("y0", "x0", "x1", "y1", "seq").alias("h"))
     foot = anchors.where("kind = 'footer'").select("group_id", F.struct("y0", "x0", "x1", "y1", "seq").alias("f"))
