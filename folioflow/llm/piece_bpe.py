@@ -1,14 +1,15 @@
 """SentencePiece encoding and decoding for merge-type (BPE) vocabularies.
 
 A text is normalised by the library, and cut before every run of the word mark
-(U+2581).  No piece of the vocabulary spans such a cut (checked when the model is
-loaded; a model where one does is encoded uncut), so each segment is encoded on
-its own.  Within a segment an agenda holds all adjacent symbol pairs that form a
+(U+2581) and between Latin letters and other characters.  No piece of the vocabulary
+spans such a cut (checked when the model is loaded; where one does, or where runs
+of unknown characters have one id, the cuts are coarser), so each segment is
+encoded on its own.  Within a segment an agenda holds all adjacent symbol pairs that form a
 piece, best score first and leftmost first among equals; the best pair is
 merged, and its new neighbours enter the agenda.  Stale entries are skipped.
 What is no piece in the end falls back to bytes, or to the unknown id.  Short
-segments share one agenda held in arrays: in each round the top entry of every
-segment is merged.  Long segments have a heap each.
+segments of one length share an agenda held in a matrix: in each round the top
+entry of every segment is merged.  Long segments have a heap each.
 
 Segments repeat, so a bounded memo of the recent ones is kept for each worker;
 each new segment is also encoded by the sentencepiece library in batches, and a
@@ -23,22 +24,32 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import struct
+from collections import Counter
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 MARK = "▁"
-#: Segments that a worker remembers: between this number and twice as many.
-MEMO_SIZE = 150_000
+#: Bytes of the segments that a worker remembers, about: between this number and twice as many.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 230
 #: Characters beyond which a segment gets a heap of its own.
 LONG_SEGMENT = 40
 #: Segments that share an agenda, so that its arrays stay in the processor's cache.
-SEGMENTS_PER_AGENDA = 1500
-_NONE = np.int64(1) << 30
+SEGMENTS_PER_AGENDA = 2048
+#: Segments of a text, the finest first: a mark with the run of Latin letters, or of others, behind it; a mark with
+#: all up to the next; the whole text.  The first that parts no piece of a vocabulary holds for it.
+#: Text that is encoded at once.
+STEP_BYTES = 3 << 20
+_LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af"
+CUTS = (f"{MARK}+(?:[{_LATIN}]+|[^{_LATIN}{MARK}]+)?|[{_LATIN}]+|[^{_LATIN}{MARK}]+", f"{MARK}+[^{MARK}]*|[^{MARK}]+", r"(?s:.+)")
+_NONE = np.int32(1 << 30)
+_ID = np.dtype("<i4")
 
 
 class Agenda:
@@ -61,79 +72,86 @@ class Agenda:
             raise ValueError("models with unused pieces are not supported")
         self.texts = pieces
         self.byte_of = {i: b for b, i in self.bytes.items()}
-        spanning = any(MARK in p.lstrip(MARK) for p in self.rank)
-        self._cut = re.compile(r".+" if spanning else f"{MARK}+[^{MARK}]*|[^{MARK}]+", re.S)
-        self._memo: dict[str, list[int]] = {}
-        self._older: dict[str, list[int]] = {}
+        self._cut = next(cut for cut in map(re.compile, CUTS if self.bytes else CUTS[1:]) if all(len(cut.findall(p)) == 1 for p in self.rank))
+        self._memo: dict[str, bytes] = {}
+        self._older: dict[str, bytes] = {}
+        self._held = 0
+        self._probes: dict[str, bytes] = {}
         self._tables(n)
 
     def _tables(self, n: int) -> None:
-        """Arrays over all pairs of pieces that form a piece, and over single characters."""
+        """Arrays over all pairs of pieces that form a piece, over the levels of scores, and over single characters."""
         levels = {v: i for i, v in enumerate(sorted({r for r, _ in self.rank.values()}))}
-        pairs = sorted(
-            (self.rank[p[:k]][1] * n + self.rank[p[k:]][1], levels[r], i)
-            for p, (r, i) in self.rank.items()
-            for k in range(1, len(p))
-            if p[:k] in self.rank and p[k:] in self.rank
-        )
+        pairs = sorted({(self.rank[p[:k]][1] * n + self.rank[p[k:]][1], levels[r]) for p, (r, _) in self.rank.items() for k in range(1, len(p)) if p[:k] in self.rank and p[k:] in self.rank})
         self._size = n
-        self._pair, self._level, self._merged = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(1, np.int64) - 1,) * 3
-        self._char = np.full(0x110000, -1, np.int64)
-        for piece, (_, i) in self.rank.items():
+        # Where pieces have one score, a level does not tell them apart: segments that hold one get a heap.
+        shared = Counter(r for r, _ in self.rank.values())
+        tied = [p for p, (r, _) in self.rank.items() if shared[r] > 1 and len(p) > 1]
+        self._tied = re.compile("|".join(map(re.escape, tied)) if tied else r"(?!)")
+        self._pair, self._level = (np.array(x, np.int64) for x in zip(*pairs)) if pairs else (np.zeros(1, np.int64) - 1,) * 2
+        self._merged = np.zeros(len(levels) + 1, np.int32)
+        self._char = np.full(0x110000, -1, np.int32)
+        for piece, (r, i) in self.rank.items():
+            self._merged[levels[r]] = i
             if len(piece) == 1:
                 self._char[ord(piece)] = i
 
-    def _look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Return level and merged id of symbol pairs; the level is _NONE where they form no piece."""
-        key = np.where((left >= 0) & (right >= 0), left * self._size + right, -1)
+    def _look_up(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Return the levels of symbol pairs, _NONE where they form no piece."""
+        key = left.astype(np.int64) * self._size + right
+        key[(left < 0) | (right < 0)] = -1
         at = np.minimum(np.searchsorted(self._pair, key), len(self._pair) - 1)
-        return np.where(self._pair[at] == key, self._level[at], _NONE), self._merged[at]
+        return np.where(self._pair[at] == key, self._level[at], _NONE).astype(np.int32)
 
-    def merge_all(self, segments: list[str]) -> list[list[int]]:
-        """Return the ids of segments by a shared agenda; see the module's description."""
-        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).astype(np.int64)
+    def merge_all(self, segments: list[str]) -> list[bytes]:
+        """Return the ids, as 4 bytes each, of segments of one length; see the module's description.
+
+        A round takes one symbol from every row, so the agenda stays a matrix.
+        """
+        codes = np.frombuffer("".join(segments).encode("utf-32-le"), np.uint32).reshape(len(segments), -1)
         symbol = self._char[codes]
-        symbol = np.where(symbol < 0, -1 - codes, symbol)  # no piece: the character, negative
-        segment = np.repeat(np.arange(len(segments)), [len(s) for s in segments])
-        level, merged = np.full(len(symbol), _NONE), np.zeros(len(symbol), np.int64)
-        level[:-1], merged[:-1] = self._look_up(symbol[:-1], symbol[1:])
-        level[:-1][segment[1:] != segment[:-1]] = _NONE
-        out: list[list[int]] = [[]] * len(segments)
-        while len(symbol):
-            first = np.flatnonzero(np.concatenate([[True], segment[1:] != segment[:-1]]))
-            top = np.minimum.reduceat(level << 32 | np.arange(len(level)), first)
-            going = top < _NONE << 32
-            if not going.all():
-                length = np.diff(np.append(first, len(symbol)))
-                done = np.flatnonzero(~going)
-                ids = symbol.tolist()
-                for k, a, m in zip(segment[first[done]].tolist(), first[done].tolist(), length[done].tolist()):
-                    out[k] = ids[a : a + m]
-                stay = np.repeat(going, length)
-                shift = np.cumsum(stay) - 1
-                top = (top[going] >> 32 << 32) | shift[top[going] & 0xFFFFFFFF]
-                symbol, segment, level, merged = symbol[stay], segment[stay], level[stay], merged[stay]
-                if not len(symbol):
+        symbol = np.where(symbol < 0, -1 - codes.astype(np.int32), symbol)  # no piece: the character, negative
+        level = self._look_up(symbol[:, :-1], symbol[:, 1:])
+        of = np.arange(len(segments))
+        out: list[bytes] = [b""] * len(segments)
+        while len(of):
+            width = symbol.shape[1]
+            if width > 1:
+                rows, at = np.arange(len(of)), level.argmin(axis=1)
+                top = level[rows, at]
+                done = top == _NONE
+            else:
+                done = np.ones(len(of), bool)
+            if done.any():
+                self._finish(out, of[done].tolist(), symbol[done])
+                if done.all():
                     break
-            at = top & 0xFFFFFFFF
-            symbol[at] = merged[at]
-            stay = np.ones(len(symbol), bool)
-            stay[at + 1] = False
-            symbol, segment, level, merged = symbol[stay], segment[stay], level[stay], merged[stay]
-            at = at - np.arange(len(at))
-            level = np.append(level, _NONE)  # so that the last symbol has a neighbour
-            for p in (at, at[at > 0] - 1):
-                q = np.minimum(p + 1, len(symbol) - 1)
-                new, ids = self._look_up(symbol[p], symbol[q])
-                level[p] = np.where((segment[p] == segment[q]) & (p != q), new, _NONE)
-                merged[p] = ids
-            level = level[:-1]
-        return [self._settle(ids) for ids in out]
+                stay = ~done
+                symbol, level, of, at, top = symbol[stay], level[stay], of[stay], at[stay], top[stay]
+                rows = rows[: len(of)]
+            symbol[rows, at] = self._merged[top]
+            keep = np.ones(symbol.shape, bool)
+            keep[rows, at + 1] = False
+            symbol = symbol[keep].reshape(len(of), width - 1)
+            keep = np.ones(level.shape, bool)
+            keep[rows, at] = False
+            level = level[keep].reshape(len(of), width - 2)
+            for near in (at - 1, at):  # the new symbol's pairs with its neighbours
+                r = np.flatnonzero((near >= 0) & (near < width - 2))
+                p = near[r]
+                level[r, p] = self._look_up(symbol[r, p], symbol[r, p + 1])
+        return out
+
+    def _finish(self, out: list[bytes], of: list[int], symbol: np.ndarray) -> None:
+        """Note the ids of the rows ``of``; characters that are no piece are settled."""
+        flat, step = symbol.astype(_ID).tobytes(), 4 * symbol.shape[1]
+        for i, k in enumerate(of):
+            out[k] = flat[i * step : (i + 1) * step]
+        for i in np.flatnonzero(symbol.min(axis=1) < 0).tolist():
+            out[of[i]] = _packed(self._settle(symbol[i].tolist()))
 
     def _settle(self, ids: list[int]) -> list[int]:
         """Replace characters that are no piece by their bytes, or by one unknown id a run."""
-        if not ids or min(ids) >= 0:
-            return ids
         settled: list[int] = []
         for i in ids:
             if i >= 0:
@@ -188,39 +206,63 @@ class Agenda:
                 ids.append(self.unknown)
         return ids
 
-    def encode(self, texts: Iterable[str]) -> list[list[int]]:
+    def _learn(self, fresh: list[str]) -> None:
+        """Add new segments to the memo, and compare each with the library."""
+        memo = self._memo
+        by_length: dict[int, list[str]] = {}
+        for s in fresh:
+            by_length.setdefault(LONG_SEGMENT + 1 if len(s) > LONG_SEGMENT or self._tied.search(s) else len(s), []).append(s)
+        for length, own in by_length.items():
+            if length > LONG_SEGMENT:
+                memo.update((s, _packed(self.merge(s))) for s in own)
+            else:
+                for i in range(0, len(own), SEGMENTS_PER_AGENDA):
+                    part = own[i : i + SEGMENTS_PER_AGENDA]
+                    memo.update(zip(part, self.merge_all(part)))
+        # The library puts a mark before every text.  A segment without one is shown to it behind a
+        # character that the cut rule parts from it; where that changes the characters, it is left out.
+        shown, want = [], []
+        for s in fresh:
+            if s[0] == MARK:
+                if len(s) > 1:
+                    shown.append(s[1:].replace(MARK, " "))
+                    want.append((s, b""))
+            elif len(self._cut.findall(MARK + (q := "." if s[0].isalpha() else "a") + s)) == 2:
+                shown.append(q + s)
+                want.append((s, self._probe(q)))
+        for text, (s, before), normal, ids in zip(shown, want, self.library.normalize(shown), self.library.encode(shown, num_threads=1)):
+            if normal == MARK + text.replace(" ", MARK) and _packed(ids) != before + memo[s]:
+                raise ValueError(f"the library encodes {text!r} as {ids}, the agenda as {np.frombuffer(before + memo[s], _ID).tolist()}")
+
+    def _probe(self, character: str) -> bytes:
+        if character not in self._probes:
+            self._probes[character] = _packed(self.merge(MARK + character))
+        return self._probes[character]
+
+    def encode(self, texts: Iterable[str]) -> list[np.ndarray]:
         """Return the ids of texts, each with the end id last."""
         segments = [self._cut.findall(t) for t in self.library.normalize(list(texts))]
         distinct = set().union(*segments)
-        if len(self._memo) > MEMO_SIZE:
-            self._older, self._memo = self._memo, {}
-        memo = self._memo
+        if self._held > MEMO_BYTES:
+            self._older, self._memo, self._held = self._memo, {}, 0
+        memo, older = self._memo, self._older
+        missing = distinct - memo.keys()
         fresh = []
-        for s in distinct:
-            if s not in memo:
-                if s in self._older:
-                    memo[s] = self._older[s]
-                else:
-                    fresh.append(s)
+        for s in missing:
+            ids = older.get(s)
+            if ids is None:
+                fresh.append(s)
+            else:
+                memo[s] = ids
         if fresh:
-            short = [s for s in fresh if len(s) <= LONG_SEGMENT]
-            for i in range(0, len(short), SEGMENTS_PER_AGENDA):
-                memo.update(zip(short[i : i + SEGMENTS_PER_AGENDA], self.merge_all(short[i : i + SEGMENTS_PER_AGENDA])))
-            memo.update((s, self.merge(s)) for s in fresh if len(s) > LONG_SEGMENT)
-            # The library puts the first mark back itself.
-            own = [s for s in fresh if s[0] == MARK and len(s) > 1]
-            for s, ids in zip(own, self.library.encode([s[1:].replace(MARK, " ") for s in own], num_threads=1)):
-                if ids != memo[s]:
-                    raise ValueError(f"the library encodes {s!r} as {ids}, the agenda as {memo[s]}")
-        end = self.end
-        out = []
-        for parts in segments:
-            ids = []
-            for s in parts:
-                ids += memo[s]
-            ids.append(end)
-            out.append(ids)
-        return out
+            self._learn(fresh)
+        self._held += sum(ENTRY_BYTES + len(s) + len(memo[s]) for s in missing)
+        end = _packed([self.end])
+        return [np.frombuffer(b"".join([*map(memo.__getitem__, parts), end]), _ID) for parts in segments]
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}i", *ids)
 
 
 _encoders: dict[str, Agenda] = {}
@@ -233,52 +275,86 @@ def encoder(model: str) -> Agenda:
     return _encoders[model]
 
 
-def encode_rows(docs: DataFrame, model: str, text_col: str, columns: dict[str, T.DataType], build: Callable[[Agenda, list[list[int]]], dict[str, pa.Array]], texts_per_step: int = 200) -> DataFrame:
-    """Add ``columns`` to the rows of ``docs``, built from the ids of ``text_col``.
+def _others(schema: T.StructType, names: Iterable[str]) -> list[T.StructField]:
+    """The columns that do not bear one of the names, in any case."""
+    taken = {n.lower() for n in names}
+    return [f for f in schema.fields if f.name.lower() not in taken]
 
-    ``model`` is a path that executors can read.  Batches are taken in steps of a
-    few texts, so that memory is bounded by a few texts and the memo.
+
+def encode_rows(docs: DataFrame, model: str, text_col: str, columns: dict[str, T.DataType], build: Callable[[Agenda, list[np.ndarray]], dict[str, pa.Array]]) -> DataFrame:
+    """Add ``columns`` to the rows of ``docs``, built from the ids of ``text_col``; they replace columns of the same name.
+
+    ``model`` is a path that executors can read.  Batches are taken in steps of
+    ``STEP_BYTES`` of text, or one longer text, so memory is bounded by these and the memo.
     """
-    schema = T.StructType([*docs.schema.fields, *(T.StructField(k, v) for k, v in columns.items())])
+    kept = _others(docs.schema, columns)
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in columns.items())])
+    read = names if text_col in names else [*names, text_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         agenda = encoder(model)
         for batch in batches:
-            for at in range(0, batch.num_rows, texts_per_step):
-                part = batch.slice(at, texts_per_step)
+            for at, end in _steps(batch.column(text_col)):
+                part = batch.slice(at, end - at)
                 got = build(agenda, agenda.encode(t or "" for t in part.column(text_col).to_pylist()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *(got[k] for k in columns)], names=[*part.schema.names, *columns])
+                yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(got[k] for k in columns)], names=[*names, *columns])
+
+    return docs.select(*(_quoted(n) for n in read)).mapInArrow(run, schema)
+
 
-    return docs.mapInArrow(run, schema)
+def _steps(column: pa.Array) -> Iterator[tuple[int, int]]:
+    """Yield row ranges of about STEP_BYTES of text each, of one row at least."""
+    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes, dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        end = int(np.searchsorted(ends, ends[at] - sizes[at] + STEP_BYTES, side="right"))
+        yield at, max(at + 1, end)
+        at = max(at + 1, end)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
 
 
 def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "ids") -> DataFrame:
-    """Add the ids of every whole text, the end id last."""
-    return encode_rows(docs, model, text_col, {ids_col: T.ArrayType(T.IntegerType())}, lambda _, ids: {ids_col: pa.array(ids, pa.list_(pa.int32()))})
+    """Add the ids of every whole text, the end id last; a column ``ids_col`` is replaced."""
+
+    def build(_: Agenda, ids: list[np.ndarray]) -> dict[str, pa.Array]:
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in ids])]).astype(np.int32)
+        return {ids_col: pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(ids)))}
+
+    return encode_rows(docs, model, text_col, {ids_col: T.ArrayType(T.IntegerType())}, build)
 
 
-def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded") -> DataFrame:
-    """Add the text that ids stand for; a null array gives the empty text."""
-    schema = T.StructType([*rows.schema.fields, T.StructField(text_col, T.StringType())])
+def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded", rows_per_step: int = 200) -> DataFrame:
+    """Add the text that ids stand for, in place of a column of that name; a null array gives the empty text."""
+    kept = _others(rows.schema, [text_col])
+    names = [f.name for f in kept]
+    schema = T.StructType([*kept, T.StructField(text_col, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         library = encoder(model).library
         for batch in batches:
-            texts = library.decode([x or [] for x in batch.column(ids_col).to_pylist()])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, text_col])
+            for at in range(0, batch.num_rows, rows_per_step):
+                part = batch.slice(at, rows_per_step)
+                texts = library.decode([x or [] for x in part.column(ids_col).to_pylist()], num_threads=1)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*names, text_col])
 
-    return rows.mapInArrow(run, schema)
+    return rows.select(*(_quoted(n) for n in names)).mapInArrow(run, schema)
 
 
 def digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, n_tokens, ids_sha256 and decoded_sha256 of every whole text."""
 
-    def build(agenda: Agenda, ids: list[list[int]]) -> dict[str, pa.Array]:
+    def build(agenda: Agenda, ids: list[np.ndarray]) -> dict[str, pa.Array]:
         names = _names(agenda)
-        decoded = agenda.library.decode(ids)
+        lists = [x.tolist() for x in ids]
+        decoded = agenda.library.decode(lists, num_threads=1)
         return {
             "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
-            "ids_sha256": pa.array([hashlib.sha256(" ".join([names[i] for i in x]).encode()).hexdigest() for x in ids]),
+            "ids_sha256": pa.array([hashlib.sha256(" ".join(map(names.__getitem__, x)).encode()).hexdigest() for x in lists]),
             "decoded_sha256": pa.array([hashlib.sha256(t.encode()).hexdigest() for t in decoded]),
         }
 

@@ -173,9 +173,13 @@ def test_tokens_equal_library(spark):
     agenda = piece_bpe.Agenda(tokenizer_model())
     sp = agenda.library
     cases = [t or "" for t in texts(2)] + ["  a  b ", "▁x", " ▁▁ ▁", "\x00\n", "<s></s><0x41>", "😀é", " " * 70 + "x", "ab" * 400, "\t\t", "x▁y"]
-    assert [x[:-1] for x in agenda.encode(cases)] == sp.encode(cases)
-    words = sorted({s for t in cases for s in agenda._cut.findall(sp.normalize(t))})
-    assert agenda.merge_all(words) == [agenda.merge(w) for w in words]
+    cases += ["a.b,c###d $$$é²x", "x² 12.5% (a)b", "ǅ日本a語", "a\u0301.\u0301b"]
+    assert [x[:-1].tolist() for x in agenda.encode(cases)] == sp.encode(cases)
+    words = sorted({s for t in cases for s in agenda._cut.findall(sp.normalize(t)) if not agenda._tied.search(s)})
+    for n in {len(w) for w in words}:
+        own = [w for w in words if len(w) == n]
+        assert agenda.merge_all(own) == [piece_bpe._packed(agenda.merge(w)) for w in own]
+    assert all(len(agenda._cut.findall(p)) == 1 for p in agenda.rank)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(cases)] + [(None, None)], "doc_id long, text string")
     got = {r.doc_id: r for r in piece_bpe.digests(df, tokenizer_model()).collect()}
     for i, t in enumerate(cases):
@@ -185,3 +189,17 @@ def test_tokens_equal_library(spark):
     assert got[None].n_tokens == 1
     back = piece_bpe.decode(piece_bpe.encode(df.where("doc_id IS NOT NULL"), tokenizer_model()), tokenizer_model()).collect()
     assert all(r.decoded == sp.decode(sp.encode(r.text)) for r in back)
+
+
+def test_tokens_edge_cases(spark):
+    model = tokenizer_model()
+    clash = spark.createDataFrame([("a b", [1], "old", 3), (None, None, None, None)], "text string, IDS array<int>, Decoded string, extra int")
+    rows = piece_bpe.decode(piece_bpe.encode(clash, model), model)
+    assert sorted(rows.columns) == ["decoded", "extra", "ids", "text"]
+    assert {(r.text, r.decoded, r.extra) for r in rows.collect()} == {("a b", "a b", 3), (None, "", None)}
+    assert piece_bpe.encode(clash.limit(0), model).count() == 0 and piece_bpe.decode(rows.limit(0), model).count() == 0
+    long = "word, " * 800_000  # more than a step
+    df = spark.createDataFrame([(1, long), (1, long), (2, "")], "doc_id long, text string")
+    got = piece_bpe.digests(df, model).collect()
+    want = len(piece_bpe.encoder(model).library.encode(long)) + 1
+    assert sorted(r.n_tokens for r in got) == [1, want, want]
