@@ -15,19 +15,25 @@ than ``e`` of them keeps them, so that a linked pair still shares ``m`` keys.
 Sets belong to the band of their size, and to a higher band if a partner there
 is within reach.
 
-Sets with fewer than ``m`` shared keys in a band drop out of it, and so do pairs
-with fewer common ones; sets that share only a passage go that way.  A folded
-256-bit sketch discards more candidates before the exact check of the shingle
-sets.  Candidates are not expanded to all pairs: each bucket first
-offers one pair per member (to its smallest member), then only pairs whose
-components still differ, first the closest other component of each member and
-then the rest, so the components are exact.
+Sets with fewer than ``m`` shared keys in a band drop out of it; sets that share
+only a passage go that way.  The rest have their tokens written once, with a
+parity sketch folded to ``SKETCH_BITS`` bits for each bit that a linked pair may
+differ in; a pair whose folded sketches differ in more than ``k`` bits cannot
+link, and the exact check of the token sets has the last word.
+
+Candidates are not expanded to all pairs.  Each set is first tried with the
+smallest member of the buckets that it shares most often.  Then only buckets that
+still hold several components are looked at, and in them only pairs of one member
+outside the bucket's largest component with any member of another component:
+first the closest partner of each member, in the end all pairs that the sketch
+allows, so the components are exact.  Buckets are dealt out in blocks of members,
+and a key that many sets of a task have is not gathered to be found as shared.
 
 Defined edge cases: null and empty texts have the empty set, size 0, and link
 with nothing; texts with fewer than ``width`` words have one shingle, the whole
 sequence.  Equal sets (copies) are one class, whatever their ids; rows with null
-or repeated ids are kept, and the component id is the smallest non-null id.
-Equality of shingles is equality of 64-bit hashes.
+or repeated ids are kept, and the component id is the smallest non-null id; other
+columns play no part.  Equality of shingles and of texts is that of 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -37,12 +43,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioflow.llm.components import connected_components
-from folioflow.llm.shared import materialize
+from folioflow.llm.shared import discard, materialize
 from folioflow.llm.textvec import U64, Texts, mix, slices, windows
 
 BAND_RATIO = 1.4
@@ -51,13 +56,19 @@ COMMON_SHARE = 0.08
 #: Keys that one reducer group holds on average, and that a mapper gathers.
 KEYS_PER_BUCKET = 1 << 18
 KEYS_PER_FLUSH = 400_000
-#: 64-bit words of the candidate filter: 1 MiB, whatever the input.
-FILTER_WORDS = 1 << 17
-#: Members of a bucket that are compared at once, and of one that is a group of its own.
-ROWS_PER_BLOCK = 512
-LARGE_BUCKET = 2048
-#: Buckets up to this size are compared side by side, all buckets at a time.
-SMALL_BUCKET = 8
+#: Members beyond which a key of one flush is known as shared, and not gathered.
+HOT_IN_FLUSH = 16
+#: 64-bit words of a filter of text hashes: by the number of texts, 16 MiB at most.  Its false positives only cost time.
+LEAST_FILTER, MOST_FILTER = 1 << 12, 1 << 21
+#: Bits of a folded sketch for each bit that linked sets may differ in, and the largest sketch.
+SKETCH_BITS, MOST_BITS = 12, 1 << 16
+#: Members of a bucket that are compared in one place, and rows that such places hold on average.
+ROWS_PER_BLOCK = 256
+ROWS_PER_GROUP = 8192
+#: 64-bit words of sketches that are compared at once.
+WORDS_AT_ONCE = 1 << 20
+#: Rounds in which each member offers its closest partner.
+CLOSEST_ROUNDS = 2
 
 
 def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
@@ -80,10 +91,26 @@ def set_id(tokens: np.ndarray) -> int:
     return int(mix(total[:1] * U64(0x9E3779B97F4A7C15) + total[1:]).view(np.int64)[0])
 
 
-def folded_sketch(tokens: np.ndarray) -> np.ndarray:
-    """Return the 256-bit parity sketch as four signed longs."""
-    odd = np.bincount((tokens & U64(255)).astype(np.intp), minlength=256) & 1
-    return np.packbits(odd.astype(bool)).view(np.int64)
+def sketch_bits(n: int, num: int, den: int) -> int:
+    """Return the bits of the folded sketch of a set of n tokens, a power of two."""
+    differ = 2 * n * (den - num) // (den + num)
+    return min(MOST_BITS, max(64, 1 << (SKETCH_BITS * differ - 1).bit_length() if differ else 64))
+
+
+def folded_sketch(tokens: np.ndarray, bits: int) -> bytes:
+    """Return the parity sketch folded to a number of bits."""
+    odd = np.bincount((tokens & U64(bits - 1)).astype(np.intp), minlength=bits) & 1
+    return np.packbits(odd.astype(bool)).tobytes()
+
+
+def unpacked(sketches: list[bytes]) -> np.ndarray:
+    """Return sketches as rows of 64-bit words, all folded to the shortest one."""
+    least = min(map(len, sketches))
+    out = np.empty((len(sketches), least // 8), U64)
+    for i, sketch in enumerate(sketches):
+        words = np.frombuffer(sketch, U64)
+        out[i] = np.bitwise_xor.reduce(words.reshape(-1, least // 8), axis=0) if len(words) > least // 8 else words
+    return out
 
 
 class Bands:
@@ -142,138 +169,191 @@ def part_keys(tokens: np.ndarray, bands: Bands) -> tuple[np.ndarray, np.ndarray]
 
 
 def _bucketed(keys: list[tuple[np.ndarray, np.ndarray]], cids: list[int], buckets: int) -> pa.RecordBatch:
-    """Pack keys, bands and set ids into one row per bucket: 5, 1 and 8 bytes each."""
+    """Pack keys, bands and set ids into one row per bucket: 5, 1 and 8 bytes each.
+
+    Of a key that more than HOT_IN_FLUSH sets here have, two go to its bucket, so that
+    others with it are found; the rest is known to be shared, and goes to one of the
+    extra buckets from ``buckets`` on, as whole rows.
+    """
     k = np.concatenate([x[0] for x in keys])
     g = np.concatenate([x[1] for x in keys])
     c = np.repeat(np.array(cids, np.int64), [len(x[0]) for x in keys])
+    order = np.argsort(k, kind="stable")
+    k, g, c = k[order], g[order], c[order]
+    fresh = np.concatenate([[True], k[1:] != k[:-1]])
+    first = np.flatnonzero(fresh)
+    size = np.diff(np.append(first, len(k)))
+    rank = np.arange(len(k)) - np.repeat(first, size)
+    known = (np.repeat(size, size) > HOT_IN_FLUSH) & (rank >= 2)
     b = ((k >> U64(32)) * U64(buckets)) >> U64(32)
-    order = np.argsort(b, kind="stable")
-    b, k, g, c = b[order], k[order], g[order], c[order]
-    first = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))
-    last = np.append(first[1:], len(b))
+    rows = {"bucket": [], "keys": [], "cids": []}
+    if known.any():
+        extra = np.zeros(int(known.sum()), _KNOWN)
+        extra["key"], extra["band"], extra["cid"] = _key_id(k[known], b[known]), g[known], c[known]
+        rows["bucket"].append(buckets + int(extra["cid"][0] % buckets))
+        rows["keys"].append(extra.tobytes())
+        rows["cids"].append(b"")
+    k, g, c, b = k[~known], g[~known], c[~known], b[~known]
+    cut = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]]))  # keys are in order, and so are buckets
     low = np.concatenate([k.view(np.uint8).reshape(-1, 8)[:, :5], g[:, None]], axis=1)
-    return pa.RecordBatch.from_arrays(
-        [pa.array(b[first].astype(np.int64)), pa.array([low[i:j].tobytes() for i, j in zip(first, last)], pa.binary()), pa.array([c[i:j].tobytes() for i, j in zip(first, last)], pa.binary())],
-        names=["bucket", "keys", "cids"],
-    )
+    for i, j in zip(cut.tolist(), np.append(cut[1:], len(b)).tolist()):
+        rows["bucket"].append(int(b[i]))
+        rows["keys"].append(low[i:j].tobytes())
+        rows["cids"].append(c[i:j].tobytes())
+    return pa.RecordBatch.from_arrays([pa.array(rows["bucket"], pa.int64()), pa.array(rows["keys"], pa.binary()), pa.array(rows["cids"], pa.binary())], names=list(rows))
+
+
+_KNOWN = np.dtype([("key", "<i8"), ("band", "<i4"), ("cid", "<i8")])
 
 
-def _shared_keys(table: pa.Table) -> pa.Table:
+def _key_id(key: np.ndarray, bucket: np.ndarray) -> np.ndarray:
+    """The name of a key: its low 40 bits, and its bucket."""
+    return (key & U64((1 << 40) - 1)).astype(np.int64) + (bucket.astype(np.int64) << 40)
+
+
+def _shared_keys(buckets: int):
     """Of one bucket, return (key, band, cid) for each key that two sets or more have."""
-    raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
-    key = np.zeros((len(raw), 8), np.uint8)
-    key[:, :5] = raw[:, :5]
-    key, band = key.view(U64).ravel(), raw[:, 5]
-    cid = np.frombuffer(b"".join(table.column("cids").to_pylist()), np.int64)
-    order = np.argsort(key)
-    sorted_keys = key[order]
-    same = sorted_keys[1:] == sorted_keys[:-1]
-    order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
-    key, band, cid = key[order], band[order], cid[order]
-    order = np.lexsort((cid, key))
-    key, band, cid = key[order], band[order], cid[order]
-    if len(key):
-        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])
-        key, band, cid = key[fresh], band[fresh], cid[fresh]
-    same = key[1:] == key[:-1]
-    many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.empty(0, bool)
-    bucket = table.column("bucket")[0].as_py()
-    return pa.table({"key": key[many].astype(np.int64) + (bucket << 40), "band": band[many].astype(np.int32), "cid": cid[many]})
-
-
-def _hamming(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a[:, None, :] ^ b[None, :, :]).sum(axis=2, dtype=np.int64)
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        if bucket >= buckets:
+            rows = np.frombuffer(b"".join(table.column("keys").to_pylist()), _KNOWN)
+            return pa.table({name: np.ascontiguousarray(rows[name]) for name in ("key", "band", "cid")})
+        raw = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint8).reshape(-1, 6)
+        key = np.zeros((len(raw), 8), np.uint8)
+        key[:, :5] = raw[:, :5]
+        key, band = key.view(U64).ravel(), raw[:, 5]
+        cid = np.frombuffer(b"".join(table.column("cids").to_pylist()), np.int64)
+        order = np.argsort(key)
+        sorted_keys = key[order]
+        same = sorted_keys[1:] == sorted_keys[:-1]
+        order = order[np.concatenate([same, [False]]) | np.concatenate([[False], same])]
+        key, band, cid = key[order], band[order], cid[order]
+        order = np.lexsort((cid, key))
+        key, band, cid = key[order], band[order], cid[order]
+        if len(key):
+            fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (cid[1:] != cid[:-1])])
+            key, band, cid = key[fresh], band[fresh], cid[fresh]
+        same = key[1:] == key[:-1]
+        many = np.concatenate([same, [False]]) | np.concatenate([[False], same]) if len(key) else np.empty(0, bool)
+        return pa.table({"key": _key_id(key[many], np.full(int(many.sum()), bucket)), "band": band[many].astype(np.int32), "cid": cid[many]})
+
+    return run
 
 
 def _split_pairs(num: int, den: int, closest: bool):
-    """Pairs of different components within the keys of a group, which the folded sketch allows.
+    """Pairs of different components within the blocks of a group, which the folded sketches allow.
 
-    With ``closest`` a member of a larger bucket offers only the closest other one.
+    A block (key, i, j) holds some members of a bucket, and some of its minor ones, which
+    are those outside its largest component; each minor one meets every member.  With
+    ``closest`` a minor member offers only the closest other one of the block.
     """
 
-    def allowed(far: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        return (far * (den + num) <= (den - num) * (na + nb)) & (den * np.minimum(na, nb) >= num * np.maximum(na, nb))
+    def meet(major: dict[str, np.ndarray], minor: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        step = max(1, WORDS_AT_ONCE // max(1, len(major["n"]) * major["sketch"].shape[1]))
+        for i in range(0, len(minor["n"]), step):
+            x = {k: v[i : i + step] for k, v in minor.items()}
+            far = np.bitwise_count(x["sketch"][:, None, :] ^ major["sketch"][None, :, :]).sum(axis=2, dtype=np.int64)
+            nx, ny = x["n"][:, None], major["n"][None, :]
+            ok = (far * (den + num) <= (den - num) * (nx + ny)) & (den * np.minimum(nx, ny) >= num * np.maximum(nx, ny)) & (x["label"][:, None] != major["label"][None, :])
+            if closest:
+                far[~ok] = 1 << 40
+                best = far.argmin(axis=1)
+                rows = np.flatnonzero(far[np.arange(len(best)), best] < 1 << 40)
+                yield np.stack([x["cid"][rows], major["cid"][best[rows]]], 1)
+            else:
+                a, b = np.nonzero(ok)
+                yield np.stack([x["cid"][a], major["cid"][b]], 1)
 
     def run(table: pa.Table) -> pa.Table:
-        key, cid, label, n = (table.column(x).to_numpy() for x in ("key", "cid", "label", "n"))
-        sketch = np.stack([table.column(f"s{i}").to_numpy() for i in range(4)], 1).view(U64)
-        order = np.lexsort((cid, key))
-        key, cid, label, n, sketch = key[order], cid[order], label[order], n[order], sketch[order]
-        first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        size = np.diff(np.append(first, len(key)))
-        few = np.flatnonzero(np.repeat(size <= SMALL_BUCKET, size))
-        found = []
-        for shift in range(1, SMALL_BUCKET):
-            x, y = few[:-shift], few[shift:]
-            near = (key[x] == key[y]) & (label[x] != label[y])
-            x, y = x[near], y[near]
-            far = np.bitwise_count(sketch[x] ^ sketch[y]).sum(axis=1, dtype=np.int64)
-            ok = allowed(far, n[x], n[y])
-            found.append((cid[x[ok]], cid[y[ok]]))
-        large = size > SMALL_BUCKET
-        for i, j in zip(first[large].tolist(), (first + size)[large].tolist()):
-            nearest = np.full((2, j - i), 1 << 20)  # distance and row of the closest other component
-            for p in range(i, j, ROWS_PER_BLOCK):
-                for q in range(p, j, ROWS_PER_BLOCK):
-                    a, b = slice(p, min(p + ROWS_PER_BLOCK, j)), slice(q, min(q + ROWS_PER_BLOCK, j))
-                    far = _hamming(sketch[a], sketch[b])
-                    ok = allowed(far, n[a][:, None], n[b][None, :]) & (label[a][:, None] != label[b][None, :])
-                    if closest:
-                        far[~ok] = 1 << 20
-                        for rows, start, table in ((a, q, far), (b, p, far.T)):
-                            best = table.argmin(axis=1)
-                            low = table[np.arange(len(best)), best]
-                            now = nearest[:, rows.start - i : rows.stop - i]
-                            better = low < now[0]
-                            now[0][better], now[1][better] = low[better], best[better] + start
-                    else:
-                        if p == q:
-                            ok &= np.triu(np.ones(ok.shape, bool), 1)
-                        x, y = np.nonzero(ok)
-                        found.append((cid[a][x], cid[b][y]))
-            hit = np.flatnonzero(nearest[0] < 1 << 20)
-            found.append((cid[i + hit], cid[nearest[1][hit]]))
-        a = np.concatenate([x[0] for x in found]) if found else np.empty(0, np.int64)
-        b = np.concatenate([x[1] for x in found]) if found else np.empty(0, np.int64)
-        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], 1), axis=0)
+        names = ("key", "i", "j", "minor", "cid", "label", "n")
+        col = {name: table.column(name).to_numpy() for name in names}
+        sketches = table.column("sketch").to_pylist()
+        order = np.lexsort((col["cid"], col["minor"], col["j"], col["i"], col["key"]))
+        col = {k: v[order] for k, v in col.items()}
+        cut = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
+        first = np.flatnonzero(np.concatenate([[True], cut]))
+        found = [np.empty((0, 2), np.int64)]
+        for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
+            block = {k: col[k][i:j] for k in ("cid", "label", "n", "minor")}
+            block["sketch"] = unpacked([sketches[r] for r in order[i:j].tolist()])
+            own = block.pop("minor")
+            # A row that is a minor one of this block, and a member of it, is there as both.
+            minor, major = ({k: v[pick] for k, v in block.items()} for pick in (own > 0, own < 2))
+            if len(minor["n"]) and len(major["n"]):
+                got = np.concatenate(list(meet(major, minor)))
+                found.append(np.unique(np.sort(got, axis=1), axis=0))
+        pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
     return run
 
 
+class TextFilter:
+    """A filter of text hashes of a bounded size, sent to executors; it may hold too many, but misses none."""
+
+    def __init__(self, hashes: DataFrame, count: int):
+        self.words = min(MOST_FILTER, max(LEAST_FILTER, 1 << (max(count, 1) // 4).bit_length()))
+        spots = hashes.select(F.explode(F.array(*(F.struct(self._word(F.col("h"), i).alias("w"), self._bit(F.col("h"), i).alias("b")) for i in range(2)))).alias("x"))
+        rows = spots.select("x.w", F.expr("shiftleft(1L, x.b)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
+        bits = np.zeros(self.words, np.int64)
+        got = rows.toArrow()  # at most ``words`` rows
+        bits[got.column("w").to_numpy()] = got.column("v").to_numpy()
+        self.bits = hashes.sparkSession.sparkContext.broadcast(bits)
+
+    def _word(self, h: Column, i: int) -> Column:
+        return F.shiftrightunsigned(h, 13 + 21 * i).bitwiseAND(self.words - 1)
+
+    @staticmethod
+    def _bit(h: Column, i: int) -> Column:
+        return F.shiftrightunsigned(h, 6 * i).bitwiseAND(63).cast("int")
+
+    def maybe(self, h: Column) -> Column:
+        """Whether the filter may hold a hash; only the hashes go to Python."""
+        bits, last = self.bits, self.words - 1
+
+        @F.arrow_udf("boolean")
+        def held(column: pa.Array) -> pa.Array:
+            u = column.to_numpy(zero_copy_only=False).view(U64)
+            spots = [(bits.value[((u >> U64(13 + 21 * i)) & U64(last)).astype(np.intp)].view(U64) >> ((u >> U64(6 * i)) & U64(63))) & U64(1) for i in range(2)]
+            return pa.array((spots[0] & spots[1]).astype(bool))
+
+        return held(h)
+
+
+def _text_hash(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
 class ParitySketchJoin:
     """The join over one table of texts, from its sets to components."""
 
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int):
         if width < 1 or not 0 < num <= den:
             raise ValueError("width must be positive and 0 < num <= den")
-        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.width, self.num, self.den = width, num, den
         self.sets = self._describe()
-        self.classes = materialize(self.sets.where("n > 0").groupBy("cid").agg(F.first("n").alias("n"), *(F.first(f"s{i}").alias(f"s{i}") for i in range(4))), "classes")
 
     def _describe(self) -> DataFrame:
+        """(doc_id, h, cid, n): hash of the text, id and size of its set, a row for each input row."""
         width = self.width
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for i, j, texts in slices(batch.column("text"), fold_case=True):
                     sets = shingle_sets(texts, width)
-                    sketches = np.array([folded_sketch(s) for s in sets])
                     yield pa.RecordBatch.from_arrays(
-                        [batch.column("doc_id").slice(i, j - i), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(sketches[:, k]) for k in range(4))],
-                        names=["doc_id", "cid", "n", "s0", "s1", "s2", "s3"],
+                        [batch.column("doc_id").slice(i, j - i), batch.column("h").slice(i, j - i), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
+                        names=["doc_id", "h", "cid", "n"],
                     )
 
-        return materialize(self.docs.mapInArrow(run, "doc_id long, cid long, n long, s0 long, s1 long, s2 long, s3 long"), "sets")
+        return materialize(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"), "sets")
 
     def _shared(self) -> DataFrame:
-        """(key, cid, center, common): members of all buckets with two sets or more that share enough keys.
-
-        ``common`` is how many keys a partner must share at least.
-        """
+        """(key, cid, center): members of all buckets with two sets or more that share enough keys."""
         width, num, den = self.width, self.num, self.den
-        total = self.classes.agg(F.sum("n")).first()[0] or 0
+        total = self.sets.agg(F.sum("n")).first()[0] or 0
         buckets = max(64, math.ceil(3 * (den - num) / (den + num) * total / KEYS_PER_BUCKET))
 
         def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -296,136 +376,184 @@ class ParitySketchJoin:
                 yield _bucketed(keys, cids, buckets)
 
         packed = self.docs.select("text").mapInArrow(emit, "bucket long, keys binary, cids binary")
-        found = materialize(packed.groupBy("bucket").applyInArrow(_shared_keys, "key long, band int, cid long"), "buckets")
+        found = materialize(packed.groupBy("bucket").applyInArrow(_shared_keys(buckets), "key long, band int, cid long"), "buckets")
         top = found.agg(F.max("band")).first()[0] or 0
         bands = Bands(num, den)
         need = F.element_at(F.array(*(F.lit(bands.common(i)) for i in range(top + 1))), F.col("band") + 1)
         strong = found.groupBy("cid", "band").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("cid", "band")
-        left = found.join(strong, ["cid", "band"]).withColumn("common", need)
-        keys = left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1").select("key", "center")
-        return materialize(left.join(keys, "key").select("key", "cid", "center", "common"), "shared")
-
-    def _allowed(self, pairs: DataFrame) -> DataFrame:
-        """Keep the pairs (a, b) whose sizes, folded sketches and common keys allow a link."""
-        x = self.classes.select(F.col("cid").alias("a"), F.col("n").alias("na"), *(F.col(f"s{i}").alias(f"a{i}") for i in range(4)))
-        y = self.classes.select(F.col("cid").alias("b"), F.col("n").alias("nb"), *(F.col(f"s{i}").alias(f"b{i}") for i in range(4)))
-        far = sum((F.bit_count(F.col(f"a{i}").bitwiseXOR(F.col(f"b{i}"))) for i in range(1, 4)), F.bit_count(F.col("a0").bitwiseXOR(F.col("b0"))))
-        near = (far * (self.den + self.num) <= (self.den - self.num) * (F.col("na") + F.col("nb"))) & (self.den * F.least("na", "nb") >= self.num * F.greatest("na", "nb"))
-        pairs = pairs.join(x, "a").join(y, "b").where(near).select("a", "b", "na", "nb")
-        ka = self.keys.select(F.col("cid").alias("a"), F.col("keys").alias("ka"), F.col("common").alias("ca"))
-        kb = self.keys.select(F.col("cid").alias("b"), F.col("keys").alias("kb"), F.col("common").alias("cb"))
-        pairs = pairs.join(ka, "a").join(kb, "b").where(F.size(F.array_intersect("ka", "kb")) >= F.greatest("ca", "cb"))
-        return pairs.select("a", "b", "na", "nb")
-
-    def _candidate_filter(self, cids: DataFrame) -> np.ndarray:
-        """Return a fixed-size Bloom filter over set ids; its false positives only cost time."""
-        w = FILTER_WORDS
-        spots = cids.select(F.explode(F.array(*(F.struct(F.shiftrightunsigned("cid", 8 + 17 * i).bitwiseAND(w - 1).alias("w"), F.shiftrightunsigned("cid", 2 + 6 * i).bitwiseAND(63).cast("int").alias("b")) for i in range(2)))).alias("x"))
-        rows = spots.select("x.w", F.expr("shiftleft(1L, x.b)").alias("v")).groupBy("w").agg(F.bit_or("v").alias("v"))
-        out = np.zeros(w, np.int64)
-        for r in rows.collect():  # at most FILTER_WORDS rows
-            out[r["w"]] = r["v"]
-        return out
-
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """Return those pairs (a, b, na, nb) whose sets pass the exact test."""
-        width = self.width
-        cids = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-        bits = self.docs.sparkSession.sparkContext.broadcast(self._candidate_filter(cids))
+        # A copy of a known key's row may have come from several flushes.
+        left = materialize(found.join(strong, ["cid", "band"]).select("key", "cid").distinct(), "strong")
+        discard(found)
+        # Written before the join, so that a key with many members can be split.
+        keys = materialize(left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1").select("key", "center"), "keys")
+        shared = materialize(left.join(keys, "key").select("key", "cid", "center"), "shared")
+        discard(left, keys)
+        return shared
+
+    def _members(self, shared: DataFrame) -> DataFrame:
+        """(cid, n, tokens, sketch) of the sets in ``shared``."""
+        width, num, den = self.width, self.num, self.den
+        cids = shared.select("cid").distinct()
+        # One text stands for each set.
+        texts = materialize(self.sets.where("n > 0").groupBy("cid").agg(F.min("h").alias("h")).join(cids, "cid", "left_semi"), "wanted")
+        wanted = TextFilter(texts.select("h"), texts.count())
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            seen: set[int] = set()
             for batch in batches:
-                for _, _, texts in slices(batch.column("text"), fold_case=True):
+                for _, _, part in slices(batch.column("text"), fold_case=True):
                     got = {}
-                    for tokens in shingle_sets(texts, width):
-                        if len(tokens):
-                            cid = set_id(tokens)
-                            if cid not in got and may_contain(bits.value, cid):
-                                got[cid] = tokens.view(np.int64)
+                    for tokens in shingle_sets(part, width):
+                        if len(tokens) and (cid := set_id(tokens)) not in seen:
+                            seen.add(cid)
+                            got[cid] = tokens
                     if got:
-                        yield pa.RecordBatch.from_arrays([pa.array(list(got), pa.int64()), pa.array(list(got.values()), pa.list_(pa.int64()))], names=["cid", "tokens"])
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(list(got), pa.int64()), pa.array([len(t) for t in got.values()], pa.int64()), pa.array([t.view(np.int64) for t in got.values()], pa.list_(pa.int64())), pa.array([folded_sketch(t, sketch_bits(len(t), num, den)) for t in got.values()], pa.binary())],
+                            names=["cid", "n", "tokens", "sketch"],
+                        )
+
+        rows = self.docs.select("text", _text_hash(F.col("text")).alias("h"))
+        rows = rows.where(wanted.maybe(F.col("h"))).select("text").mapInArrow(run, "cid long, n long, tokens array<long>, sketch binary")
+        rows = rows.join(cids, "cid", "left_semi").groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
+        members = materialize(rows, "members")
+        discard(texts)
+        return members
 
-        found = self.docs.select("text").mapInArrow(run, "cid long, tokens array<long>")
-        found = materialize(found.join(cids, "cid", "left_semi").groupBy("cid").agg(F.first("tokens").alias("tokens")), "shingles")
-        both = pairs.join(found.select(F.col("cid").alias("a"), F.col("tokens").alias("ta")), "a").join(found.select(F.col("cid").alias("b"), F.col("tokens").alias("tb")), "b")
-        inter = F.size(F.array_intersect("ta", "tb"))
-        return materialize(both.where(self.den * inter >= self.num * (F.col("na") + F.col("nb") - inter)).select("a", "b"), "links")
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """Return those pairs (a, b) whose sets pass the exact test; sizes and sketches are looked at first."""
+        near = pairs
+        for own, other in (("a", "a"), ("b", "b")):
+            near = near.join(self.members.select(F.col("cid").alias(own), F.col("n").alias("n" + other), F.col("sketch").alias("s" + other)), own)
+        num, den = self.num, self.den
+
+        @F.arrow_udf("boolean")
+        def allowed(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
+            out = np.empty(len(na), bool)
+            na, nb = na.to_numpy(), nb.to_numpy()
+            for i, both in enumerate(zip(sa.to_pylist(), sb.to_pylist())):
+                x = unpacked(list(both))
+                out[i] = int(np.bitwise_count(x[0] ^ x[1]).sum()) * (den + num) <= (den - num) * int(na[i] + nb[i])
+            return pa.array(out)
+
+        size = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
+        near = materialize(near.where(size).where(allowed("na", "nb", "sa", "sb")).select("a", "b", "na", "nb"), "near")
+        tokens = lambda own, name: self.members.select(F.col("cid").alias(own), F.col("tokens").alias(name))
+        both = near.join(tokens("a", "ta"), "a").join(tokens("b", "tb"), "b")
+        common = F.size(F.array_intersect("ta", "tb"))
+        links = materialize(both.where(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+        discard(near)
+        return links
 
-    def links(self) -> DataFrame:
-        """Return links (a, b) between set ids that span the components of all links."""
+    def labels(self) -> DataFrame:
+        """Return (cid, label) of every set that links with another; labels are set ids of one component each."""
         shared = self._shared()
-        self.keys = materialize(shared.groupBy("cid").agg(F.collect_list("key").alias("keys"), F.min("common").alias("common")), "keys")
-        first = shared.where("cid != center").groupBy("cid").agg(F.min("center").alias("a")).select("a", F.col("cid").alias("b"))
-        tested = materialize(self._allowed(first), "pairs")
+        self.members = self._members(shared)
+        often = shared.where("cid != center").groupBy("cid", "center").agg(F.count("*").alias("c"))
+        first = often.groupBy("cid").agg(F.max_by("center", F.struct("c", -F.col("center"))).alias("a"))
+        tested = materialize(first.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct(), "tested")
         links = self._verify(tested)
-        tested = tested.select("a", "b")
-        plan = [True, True, False]
-        while plan:
-            closest = plan.pop(0)
-            labels = connected_components(links)
-            own = shared.select("key", "cid").join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label"))
-            mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("m")).where("x != y").select("key", "m")
-            members = own.join(mixed, "key").join(self.classes, "cid")
-            # Buckets share groups by their keys; one of LARGE_BUCKET members or more is a group of its own.
-            group = F.when(F.col("m") < LARGE_BUCKET, F.pmod(F.col("key"), F.lit(4096))).otherwise(F.col("key") + 4096)
-            pairs = members.withColumn("group", group).groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
-            both = tested.unionByName(tested.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            new = materialize(self._allowed(pairs.join(both, ["a", "b"], "left_anti")), "pairs")
-            found = None if new.isEmpty() else self._verify(new)
-            if found is None or found.isEmpty():
-                plan = plan[-1:] if closest else []
-                if found is None:
-                    continue
-            links = links.select("a", "b").union(found)
-            tested = tested.union(new.select("a", "b"))
-        return links
+        labels = materialize(connected_components(links).withColumnRenamed("node", "cid"), "labels")
+        rounds = [True] * CLOSEST_ROUNDS + [False]
+        while rounds:
+            closest = rounds.pop(0)
+            pairs = self._open_pairs(shared, labels, closest).join(tested, ["a", "b"], "left_anti")
+            new = materialize(pairs, "pairs")
+            if new.isEmpty():
+                rounds = rounds[-1:] if closest else []
+                continue
+            links = self._verify(new)
+            if closest and links.isEmpty():
+                rounds = rounds[-1:]
+            tested = tested.union(new)
+            labels = self._merge(labels, links)
+        discard(shared, self.members)
+        return labels
+
+    def _open_pairs(self, shared: DataFrame, labels: DataFrame, closest: bool) -> DataFrame:
+        """Untried pairs (a, b) of different components that share a key."""
+        own = materialize(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")), "own")
+        mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
+        mixed = materialize(mixed, "mixed")
+        left = materialize(own.join(mixed, "key", "left_semi"), "open")
+        counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
+        stats = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
+        stats = materialize(stats, "stats")
+        x = left.join(stats, "key").withColumn("outside", F.col("label") != F.col("main"))
+        blocks = lambda n: F.ceil(n / ROWS_PER_BLOCK).cast("int")
+        majors, minors = blocks(F.col("m")), blocks(F.col("m") - F.col("top"))
+        at = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), n).cast("int")
+        span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+        base = x.select("key", "cid", "label", "outside", majors.alias("ni"), minors.alias("nj"))
+        as_member = base.select("key", "cid", "label", at(1, F.col("ni")).alias("i"), span(F.col("nj")).alias("j"), F.lit(0).alias("minor"))
+        as_minor = base.where("outside").select("key", "cid", "label", span(F.col("ni")).alias("i"), at(2, F.col("nj")).alias("j"), F.lit(2).alias("minor"))
+        rows = as_member.unionByName(as_minor)
+        size = own.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        total = stats.agg(F.sum(F.col("m"))).first()[0] or 0
+        groups = max(int(size), math.ceil(total / ROWS_PER_GROUP))
+        rows = rows.join(self.members.select("cid", "n", "sketch"), "cid").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
+        pairs = rows.groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
+        found = materialize(pairs, "found")
+        discard(own, mixed, left, stats)
+        return found
+
+    @staticmethod
+    def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
+        """Bring labels up to date with new links: components of the labels that they join."""
+        known = lambda name: labels.select(F.col("cid").alias(name), F.col("label").alias("label_" + name))
+        edges = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
+        joined = materialize(connected_components(edges).withColumnRenamed("label", "new"), "joined")
+        moved = labels.join(joined, labels["label"] == joined["node"], "left").select("cid", F.coalesce("new", "label").alias("label"))
+        fresh = joined.select(F.col("node").alias("cid"), F.col("new").alias("label")).join(labels.select("cid"), "cid", "left_anti")
+        return materialize(moved.union(fresh).distinct(), "labels")
+
+    def _labelled(self) -> DataFrame:
+        """(doc_id, h, cid, n, label): the label is null for empty sets."""
+        joined = self.sets.join(self.labels(), "cid", "left")
+        return materialize(joined.select("doc_id", "h", "cid", "n", F.when(F.col("n") > 0, F.coalesce("label", "cid")).alias("label")), "labelled")
 
     def components(self) -> DataFrame:
         """Return (doc_id, n_shingles, component_id, cid), a row for each input row."""
-        labels = connected_components(self.links()).withColumnRenamed("node", "cid")
-        known = self.sets.select("doc_id", "cid", "n").join(labels, "cid", "left").withColumn("label", F.coalesce("label", "cid"))
-        low = known.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("low"))
+        known = self._labelled()
+        # Written before the join, so that a large component can be split.
+        low = materialize(known.where("n > 0").groupBy("label").agg(F.min("doc_id").alias("low")), "low")
         return known.join(low, "label", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("low")).otherwise(F.col("doc_id")).alias("component_id"), "cid")
 
-
     def one_per_component(self, docs: DataFrame, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
         """Return ``docs`` (those of this join) with one row for each component: that of the smallest id.
 
-        Rows with an empty set are all kept.  A fixed-size filter tells most rows
-        that stand alone without a shuffle; the others are joined exactly.
+        Rows with an empty set are all kept, null ids come last, and of rows with equal
+        id and text any one stays.  A filter of text hashes tells most rows that stand
+        alone, and another one of ids and text hashes those that go, without a shuffle;
+        the others are joined exactly.
         """
-        labels = connected_components(self.links()).withColumnRenamed("node", "cid")
-        known = self.sets.where("n > 0").join(labels, "cid", "left").select("cid", F.coalesce("label", "cid").alias("label"))
-        groups = known.groupBy("label").count().where("count > 1").select("label")
-        shared = materialize(known.join(groups, "label").select("cid", "label").distinct(), "grouped")
-        bits = docs.sparkSession.sparkContext.broadcast(self._candidate_filter(shared.select("cid")))
-        width, names = self.width, docs.columns
+        known = self._labelled().where("n > 0")
+        groups = materialize(known.groupBy("label").agg(F.count("*").alias("c")).where("c > 1").select("label"), "groups")
+        inside = known.join(groups, "label", "left_semi")
+        best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best")
+        first = inside.groupBy("label").agg(best).select("best.h", "best.doc_id", F.lit(True).alias("once"))
+        texts = materialize(inside.select("h").distinct(), "grouped")
+        grouped = TextFilter(texts, texts.count())
+        # Rows that stand alone, but that the filter does not tell from grouped ones.
+        alone = self.sets.where(grouped.maybe(F.col("h"))).join(texts, "h", "left_anti").select("h", "doc_id", F.lit(False).alias("once")).distinct()
+        key = lambda h, i: F.xxhash64(h, i)
+        keep = materialize(first.union(alone).withColumn("k", key("h", "doc_id")), "keep")
+        stays = TextFilter(keep.select(F.col("k").alias("h")), keep.count())
+        names = docs.columns
         mark = "_set"
         while any(c.lower().startswith(mark) for c in names):
             mark = "_" + mark
-        schema = T.StructType([*docs.schema.fields, T.StructField(mark + "_cid", T.LongType()), T.StructField(mark + "_maybe", T.BooleanType())])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for i, j, texts in slices(batch.column(text_col), fold_case=True):
-                    sets = shingle_sets(texts, width)
-                    cids = [set_id(s) for s in sets]
-                    maybe = [len(s) > 0 and may_contain(bits.value, c) for s, c in zip(sets, cids)]
-                    yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, pa.array(cids, pa.int64()), pa.array(maybe, pa.bool_())], names=[*batch.schema.names, mark + "_cid", mark + "_maybe"])
-
-        rows = docs.mapInArrow(run, schema)
-        cid, maybe = F.col(mark + "_cid"), F.col(mark + "_maybe")
+        h, k, one = mark + "_h", mark + "_k", mark + "_one"
+        rows = docs.withColumn(h, _text_hash(F.col(text_col).cast("string"))).withColumn(k, key(h, F.col(id_col).cast("long")))
+        maybe = grouped.maybe(F.col(h))
         sure = rows.where(~maybe).select(*names)
-        own = shared.select(F.col("cid").alias(mark + "_own"), F.col("label").alias(mark + "_label"))
-        rest = rows.where(maybe).join(own, cid == F.col(mark + "_own"), "left").withColumn(mark + "_label", F.coalesce(mark + "_label", mark + "_cid"))
-        order = Window.partitionBy(mark + "_label").orderBy(F.col(id_col).asc_nulls_last(), mark + "_cid")
-        return sure.union(rest.withColumn(mark + "_rank", F.row_number().over(order)).where(F.col(mark + "_rank") == 1).select(*names))
-
-
-def may_contain(bits: np.ndarray, cid: int) -> bool:
-    """Whether the candidate filter may hold a set id."""
-    u = cid & (1 << 64) - 1
-    return all(int(bits[(u >> 8 + 17 * i) & (len(bits) - 1)]) >> ((u >> 2 + 6 * i) & 63) & 1 for i in range(2))
+        own = keep.select(F.col("k").alias(mark + "_own"), F.col("h").alias(mark + "_text"), F.col("doc_id").alias(mark + "_id"), F.col("once").alias(one))
+        same = (F.col(k) == F.col(mark + "_own")) & (F.col(h) == F.col(mark + "_text")) & F.col(id_col).cast("long").eqNullSafe(F.col(mark + "_id"))
+        rest = rows.where(maybe & stays.maybe(F.col(k))).join(own, same)
+        # Rows that stand alone are each a partition of their own.
+        order = Window.partitionBy(k, F.when(~F.col(one), F.monotonically_increasing_id())).orderBy(F.lit(0))
+        rest = rest.withColumn(mark + "_rank", F.row_number().over(order)).where(F.col(mark + "_rank") == 1)
+        return sure.union(rest.select(*names))
 
 
 def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, num: int = 85, den: int = 100) -> DataFrame:

@@ -119,7 +119,7 @@ def slices(column: pa.Array | pa.ChunkedArray, fold_case: bool = False, limit: i
     """Yield (first row, end row, texts) over an Arrow string column."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.fill_null("").cast(pa.large_string())
+    column = (column.fill_null("") if column.null_count else column).cast(pa.large_string())
     n = len(column)
     if not n:
         return
