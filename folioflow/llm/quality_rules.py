@@ -1,17 +1,26 @@
 r"""Quality rules whose cutoffs carry a bound on false rejection.
 
-Six ratios are measured on every whole text.  Labelled documents are divided by
-a hash of their id: one half proposes cutoffs, the other half, the holdout,
-certifies them.  In each stratum (a band of text lengths) a strictness ``s``
-proposes for every ratio the smallest cutoff that at most a share ``s`` of the
-proposing good documents reaches.  The holdout then tests the rules together:
-with x of n good holdout documents rejected, the exact (Clopper-Pearson) upper
-bound on the false rejection rate must not exceed ``max_false_rejection``.
-Strictness levels are tested from the mildest upwards and the first failure ends
-the sequence, which needs no further correction; across strata the error level
-is divided by their number (Bonferroni).  So with probability ``1 - error`` no
-stratum rejects more than ``max_false_rejection`` of its good documents.  A
-stratum with too few labels gets no cutoff and rejects by the base rules alone.
+Seven ratios are measured on every whole text.  Labelled documents are divided by
+a hash of their id: a third proposes, the rest, the holdout, certifies.  Strata are
+bands of text lengths; neighbours are joined until the holdout of each has enough
+good documents for a bound of half of ``max_false_rejection`` if none is rejected.
+
+In each stratum the proposing third lays down one sequence of steps, each of which
+adds a rule or lowers its cutoff.  A step looks at the proposing documents that the
+steps before it leave: strictness ``s`` gives a rule the smallest cutoff that at most
+a share ``s`` of the good ones reaches, and of the mildest strictness at which any
+rule is worth it, the rule that reaches most bad ones is taken.  A rule is worth it if
+it reaches ``LEAST_GAIN`` times as large a share of the bad documents as of the good
+ones (counted with one more); where none is, or after ``MOST_STEPS``, the sequence
+ends.  The holdout then tests
+the steps in turn: with x of n good holdout documents rejected so far, the exact
+(Clopper-Pearson) upper bound on the false rejection rate must not exceed
+``max_false_rejection``.  The first failure ends the sequence, which needs no further
+correction as its order does not depend on the holdout; across strata the error
+level is divided by their number (Bonferroni).  So with probability ``1 - error`` no
+stratum rejects more than ``max_false_rejection`` of its good documents.  A stratum
+with too few labels, or without bad ones, gets no cutoff and rejects by the base
+rules alone.
 
 Defined edge cases: a null or empty text has no words and fails the base rules;
 repeated rows are judged alike; labels of a repeated or null id count as the
@@ -22,6 +31,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import materialize
+from folioflow.llm.shared import discard, materialize
 from folioflow.llm.textvec import Texts, slices, windows
 
 MIN_WORDS = 20
@@ -38,6 +48,8 @@ WINDOW = 8
 #: Upper ends of the strata, in words; the last stratum is open.
 STRATA = (100, 400, 1600)
 STRICTNESS = (0.0, 0.0005, 0.001, 0.002, 0.004, 0.008, 0.012)
+LEAST_GAIN = 5.0
+MOST_STEPS = 12
 MAX_FALSE_REJECTION = 0.02
 ERROR = 0.05
 BINS = 400
@@ -145,6 +157,8 @@ def upper_bound(x: int, n: int, error: float) -> float:
     """Return the exact binomial upper bound on a rate, with x of n seen, at an error level."""
     if x >= n:
         return 1.0
+    if not x:
+        return 1.0 - error ** (1.0 / n)
 
     def at_most(p: float) -> float:  # P(X <= x)
         logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log1p(-p) for i in range(x + 1)]
@@ -174,33 +188,110 @@ def _rejects(cutoffs: dict[tuple[int, str], int], prefix: str) -> Column:
     return verdict
 
 
-def fit_cutoffs(features: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> dict[tuple[int, str], int]:
-    """Return certified cutoffs (stratum, rule) -> bin, from rows (doc_id, features) and labels.
+@dataclass(frozen=True)
+class Certificate:
+    """What the holdout showed of one stratum: its bands of lengths, steps that hold, and the bound."""
+
+    bands: tuple[int, ...]
+    steps: tuple[tuple[str, int], ...]
+    good: int
+    rejected: int
+    bound: float
+
+
+def strata(good: dict[int, int], max_false_rejection: float, error: float) -> list[tuple[int, ...]]:
+    """Join neighbouring bands until each has enough good holdout documents; see the module's description."""
+    groups = [(k,) for k in range(len(STRATA) + 1)]
+    while len(groups) > 1:
+        bounds = [upper_bound(0, sum(good.get(k, 0) for k in g), error / len(groups)) for g in groups]
+        worst = max(range(len(groups)), key=lambda i: (bounds[i], -i))
+        if bounds[worst] <= max_false_rejection / 2:
+            break
+        beside = [i for i in (worst - 1, worst + 1) if 0 <= i < len(groups)]
+        other = max(beside, key=lambda i: (bounds[i], -i))
+        low = min(worst, other)
+        groups[low : low + 2] = [groups[low] + groups[low + 1]]
+    return groups
+
+
+def next_step(good: dict[str, np.ndarray], bad: dict[str, np.ndarray], n_good: int, n_bad: int) -> tuple[str, int] | None:
+    """Return the step (rule, cutoff) for histograms, by rule, of the documents left, of n_good and n_bad in all."""
+    reach = lambda counts: counts[::-1].cumsum()[::-1]  # noqa: E731  documents at or above each bin
+    g, b = {r: reach(c) for r, c in good.items()}, {r: reach(c) for r, c in bad.items()}
+    nothing = np.zeros(BINS + 2, np.int64)
+    for s in STRICTNESS:
+        at = {r: int(np.flatnonzero(g.get(r, nothing) <= s * n_good)[0]) for r in b}
+        worth = [r for r in b if int(b[r][at[r]]) / n_bad >= LEAST_GAIN * (int(g.get(r, nothing)[at[r]]) + 1) / (n_good + 1)]
+        if worth:
+            best = min(worth, key=lambda r: (-int(b[r][at[r]]), RULES.index(r)))
+            return best, at[best]
+    return None
+
+
+def _first_step(steps: dict[tuple[int, ...], list[tuple[str, int]]]) -> Column:
+    """The number of the first step of its stratum that rejects a row of (band, features); null for none."""
+    bins, first = _bins(""), F.lit(None).cast("int")
+    for bands, own in steps.items():
+        if own:
+            hit = F.coalesce(*(F.when(bins[r] >= cut, F.lit(k)) for k, (r, cut) in enumerate(own)))
+            first = F.when(F.col("band").isin(*bands), hit).otherwise(first)
+    return first
+
+
+def certify(features: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> list[Certificate]:
+    """Return what holds in each stratum, from rows (doc_id, features) and labels (doc_id, quality).
 
-    Only histograms reach the driver: strata x rules x bins, whatever the input.
+    Only counts reach the driver: bands x rules x bins x labels, and bands x steps, whatever the input.
     """
-    good = labels.groupBy("doc_id").agg(F.min("quality").alias("q")).where("q = 1").select("doc_id")
-    known = features.join(good, "doc_id").where(~base_failed())
-    known = materialize(known.select(F.pmod(F.crc32(F.concat(F.lit("half"), F.col("doc_id").cast("string"))), F.lit(2)).alias("half"), _stratum("").alias("stratum"), *FEATURES), "labelled")
+    quality = labels.where("quality IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("q"))
+    known = features.join(quality, "doc_id").where(~base_failed())
+    third = F.pmod(F.crc32(F.concat(F.lit("part"), F.col("doc_id").cast("string"))), F.lit(3))
+    known = materialize(known.select((third > 0).alias("holdout"), (F.col("q") == 1).alias("good"), _stratum("").alias("band"), *FEATURES), "labelled")
     bins = _bins("")
-    long = known.where("half = 0").select("stratum", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bins[r].alias("bin")) for r in RULES))).alias("x"))
-    hist: dict[tuple[int, str], np.ndarray] = {}
-    for row in long.groupBy("stratum", "x.rule", "x.bin").count().collect():
-        hist.setdefault((row["stratum"], row["rule"]), np.zeros(BINS + 2, np.int64))[row["bin"]] += row["count"]
-    proposed = []
-    for s in STRICTNESS:
-        at = {}
-        for key, counts in hist.items():
-            reach = counts[::-1].cumsum()[::-1]  # documents at or above each bin
-            at[key] = int(np.flatnonzero(reach <= s * counts.sum())[0])
-        proposed.append(at)
-    tests = known.where("half = 1").groupBy("stratum").agg(F.count("*").alias("n"), *(F.sum(_rejects(at, "").cast("long")).alias(f"x{i}") for i, at in enumerate(proposed)))
-    cutoffs: dict[tuple[int, str], int] = {}
-    for row in tests.collect():
-        for i, at in enumerate(proposed):
-            if upper_bound(row[f"x{i}"], row["n"], error / (len(STRATA) + 1)) > max_false_rejection:
+    held = {r["band"]: r["count"] for r in known.where("holdout AND good").groupBy("band").count().collect()}
+    groups = strata(held, max_false_rejection, error)
+    of = {k: g for g in groups for k in g}
+    proposing = known.where("NOT holdout").select("band", "good", *FEATURES)
+    total = dict.fromkeys([(g, q) for g in groups for q in (True, False)], 0)
+    for row in proposing.groupBy("band", "good").count().collect():
+        total[of[row["band"]], row["good"]] += row["count"]
+    steps: dict[tuple[int, ...], list[tuple[str, int]]] = {g: [] for g in groups}
+    going = [g for g in groups if total[g, True] and total[g, False]]
+    for _ in range(MOST_STEPS):
+        if not going:
+            break
+        left = proposing.where(F.col("band").isin(*(k for g in going for k in g)) & _first_step(steps).isNull())
+        long = left.select("band", "good", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), bins[r].alias("bin")) for r in RULES))).alias("x"))
+        counts: dict[tuple[tuple[int, ...], bool], dict[str, np.ndarray]] = {}
+        for row in long.groupBy("band", "good", "x.rule", "x.bin").count().collect():
+            hist = counts.setdefault((of[row["band"]], row["good"]), {}).setdefault(row["rule"], np.zeros(BINS + 2, np.int64))
+            hist[row["bin"]] += row["count"]
+        new = {g: next_step(counts.get((g, True), {}), counts.get((g, False), {}), total[g, True], total[g, False]) for g in going}
+        going = [g for g in going if new[g]]
+        for g in going:
+            steps[g].append(new[g])
+    tests = known.where("holdout AND good").groupBy("band", _first_step(steps).alias("step")).count().collect()
+    out = []
+    for g in groups:
+        n = sum(held.get(k, 0) for k in g)
+        holds, x, bound = 0, 0, upper_bound(0, n, error / len(groups))
+        for k in range(len(steps[g])):
+            more = x + sum(r["count"] for r in tests if r["band"] in g and r["step"] == k)
+            now = upper_bound(more, n, error / len(groups))
+            if now > max_false_rejection:
                 break
-            cutoffs |= {key: v for key, v in at.items() if key[0] == row["stratum"]}
+            holds, x, bound = k + 1, more, now
+        out.append(Certificate(g, tuple(steps[g][:holds]), n, x, bound))
+    discard(known)
+    return out
+
+
+def fit_cutoffs(features: DataFrame, labels: DataFrame, max_false_rejection: float = MAX_FALSE_REJECTION, error: float = ERROR) -> dict[tuple[int, str], int]:
+    """Return certified cutoffs (band, rule) -> bin; see certify()."""
+    cutoffs: dict[tuple[int, str], int] = {}
+    for c in certify(features, labels, max_false_rejection, error):
+        for rule, at in c.steps:
+            cutoffs |= {(band, rule): min(at, cutoffs.get((band, rule), at)) for band in c.bands}
     return cutoffs
 
 
