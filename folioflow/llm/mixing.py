@@ -5,23 +5,30 @@ words.  Sources in code-point order (null last) weigh ``weights``, repeating, an
 share ``share`` times all words; a target stops at ``cap`` times its source, and
 what is beyond goes to the other sources by weight until none is above.
 
-Every source is hashed into ``BLOCKS`` blocks of documents, and the blocks are
-permuted.  A source's quota is the number of blocks, pass after pass over the
-permutation, that its target needs; the last block drawn is trimmed to the
-target.  The quotas of all sources are split among the output shards by a binary
-tree: a node gives half of its draws to its left child, and how many of them come
-from each source is one draw from the multivariate hypergeometric distribution,
-so a shard is an exact random sample of the mix and all quotas are met exactly.
-Each shard then takes its own disjoint run of every source's permuted draws, and
-its rows are ordered by a hash, which shuffles them locally.
-
-All random choices are hashes of the seed, so reruns agree.  Documents are only
-hashed into blocks: a source with a third of all rows is not gathered anywhere;
-tables by source and block have at most BLOCKS rows a source.
+Every source is hashed into blocks of documents, and the blocks are permuted.  A
+source's quota is the number of blocks, pass after pass over the permutation, that
+its target needs; the last block drawn is trimmed to the target.  The quotas of all
+sources are split among the output shards by a binary tree: a node gives half of its
+draws to its left child, and how many of them come from each source is one draw from
+the multivariate hypergeometric distribution, so a shard is an exact random sample
+of the mix and all quotas are met exactly.  Each shard then draws as many blocks of
+every source as its leaf says, from its own disjoint run of the permuted draws; what
+is in no shard's run is not in the mix, and the words that a document gives are the
+sum over the shards that draw its block.  A shard's rows are ordered by a hash,
+which shuffles them locally.
+
+The number of shards, a power of two, grows with the words of the mix
+(``WORDS_PER_SHARD``), and the number of blocks of a source with it.  All random
+choices are hashes of the seed, so reruns agree.  Documents are only hashed into
+blocks: a source with a third of all rows is not gathered anywhere; tables by source
+and block have as many rows a source as it has blocks.  What is worked out for all
+sources together, the targets and a node's quotas, is a row or an array entry for
+each source, so sources are taken to be far fewer than documents.
 
 Defined edge cases: null texts have size 0, take no words and stay in the plan
 with taken 0; repeated rows are separate documents; an empty table gives no
-rows; a null source is a source of its own.
+rows; a null source is a source of its own; the caller's columns stay as they are,
+and columns of the mix whose names they bear get another underscore in front.
 """
 
 from __future__ import annotations
@@ -34,8 +41,10 @@ from pyspark.sql import functions as F
 from folioflow.llm.shared import materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
-BLOCKS = 1024
-SHARDS = 64
+#: Blocks of a source, at least, and for each shard.
+BLOCKS, BLOCKS_PER_SHARD = 1024, 16
+#: Shards, at least, and words of a shard.
+SHARDS, WORDS_PER_SHARD = 64, 1 << 25
 WEIGHTS = (5, 2, 1)
 
 
@@ -123,22 +132,28 @@ def split_quotas(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
 
 class Mix:
-    """The plan of a mix: sources with targets, and which shard takes which block."""
+    """The plan of a mix: sources with targets, and which shard draws which block."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int = SHARDS, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0):
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", shards: int | None = None, seed: int = 17, weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, cap: float = 2.0):
         if share > cap:
             raise ValueError("the share must not exceed the cap")
-        self.seed, self.shards = seed, shards
+        self.seed = seed
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
         #: One narrow row a document: the texts are read once for the plan.
-        self.documents = materialize(rows.withColumn("block", self._block(F.col("doc_id"), F.col("size"))), "sizes")
-        blocks = materialize(self.documents.groupBy("source", "block").agg(F.sum("size").alias("words")), "blocks")
+        self.documents = materialize(rows.withColumn("place", self._place(F.col("doc_id"), F.col("size"))), "sizes")
+        words = self.documents.agg(F.sum("size")).first()[0] or 0
+        self.shards = shards or max(SHARDS, 1 << max(0, math.ceil(math.log2(max(1.0, words * share / WORDS_PER_SHARD)))))
+        self.blocks = max(BLOCKS, BLOCKS_PER_SHARD * self.shards)
+        blocks = materialize(self.documents.groupBy("source", self._block(F.col("place")).alias("block")).agg(F.sum("size").alias("words")), "blocks")
         sizes = blocks.groupBy("source").agg(F.sum("words").alias("source_size"))
         self.sources = materialize(targets(sizes, weights, share, cap), "sources")
         self.draws = materialize(self._dealt(self._drawn(blocks)), "draws")
 
-    def _block(self, doc_id: Column, size: Column) -> Column:
-        return F.pmod(F.xxhash64(F.lit(self.seed), doc_id, size), F.lit(BLOCKS)).cast("int")
+    def _place(self, doc_id: Column, size: Column) -> Column:
+        return F.xxhash64(F.lit(self.seed), doc_id, size)
+
+    def _block(self, place: Column) -> Column:
+        return F.pmod(place, F.lit(self.blocks)).cast("int")
 
     def _drawn(self, blocks: DataFrame) -> DataFrame:
         """Blocks in the order of the permutation, pass after pass, up to each target."""
@@ -150,17 +165,17 @@ class Mix:
         return b.where("take > 0").select("idx", "block", "pass", (F.col("take") / F.col("words")).alias("part"))
 
     def _dealt(self, drawn: DataFrame) -> DataFrame:
-        """Give every draw (idx, block, pass, part) its shard."""
+        """The draws (idx, block, pass, part) of all shards: each takes its run of every source's draws."""
         order = Window.partitionBy("idx").orderBy(F.xxhash64(F.lit(self.seed + 2), "idx", "block", "pass"), "block", "pass")
         ranked = drawn.withColumn("rank", F.row_number().over(order).cast("long"))
         split = split_quotas(ranked.groupBy("idx").agg(F.count("*").alias("quota")), self.shards, self.seed + 3)
         upto = F.sum("quota").over(Window.partitionBy("idx").orderBy("shard"))
-        ranks = split.withColumn("upto", upto).where("quota > 0").select("idx", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("rank"))
-        return ranked.join(ranks, ["idx", "rank"]).select("idx", "block", "pass", "part", "shard")
+        runs = split.withColumn("upto", upto).where("quota > 0").select("idx", "shard", F.explode(F.sequence(F.col("upto") - F.col("quota") + 1, F.col("upto"))).alias("rank"))
+        return runs.join(ranked, ["idx", "rank"]).select("idx", "block", "pass", "part", "shard")
 
     def _by_block(self) -> DataFrame:
-        """One row for each source and block, with its draws."""
-        dealt = self.draws.groupBy("idx", "block").agg(F.array_sort(F.collect_list(F.struct("pass", "part", "shard"))).alias("draws"))
+        """One row for each source and block, with the draws of all shards."""
+        dealt = self.draws.groupBy("idx", "block").agg(F.array_sort(F.collect_list(F.struct("shard", "pass", "part"))).alias("draws"))
         return dealt.join(self.sources, "idx").select("source", "block", "draws")
 
     @staticmethod
@@ -168,26 +183,39 @@ class Mix:
         return F.when(part >= 1, size).otherwise(F.floor(size * part)).cast("long")
 
     def taken(self) -> DataFrame:
-        """Return doc_id, size, source_size, target and taken for every document."""
-        s, b, d = self.sources, self._by_block(), self.documents
+        """Return doc_id, size, source_size, target, taken and shards for every document.
+
+        ``shards`` lists shard:words of each draw that takes words of the document, and
+        ``taken`` is their sum.
+        """
+        s, b = self.sources, self._by_block()
+        d = self.documents.withColumn("block", self._block(F.col("place")))
         rows = d.join(b, d["source"].eqNullSafe(b["source"]) & (d["block"] == b["block"]), "left").select(d["doc_id"], d["source"], d["size"], "draws")
-        words = F.aggregate(F.coalesce("draws", F.array().cast("array<struct<pass:int,part:double,shard:bigint>>")), F.lit(0).cast("long"), lambda a, x: a + self._words(F.col("size"), x["part"]))
-        return rows.join(F.broadcast(s) if s.limit(10_001).count() <= 10_000 else s, rows["source"].eqNullSafe(s["source"])).select("doc_id", "size", "source_size", "target", words.alias("taken"))
+        none = F.array().cast("array<struct<shard:bigint,pass:int,part:double>>")
+        runs = F.transform(F.coalesce("draws", none), lambda x: F.struct(x["shard"].alias("shard"), self._words(F.col("size"), x["part"]).alias("words")))
+        rows = rows.withColumn("runs", F.filter(runs, lambda x: x["words"] > 0))
+        words = F.aggregate("runs", F.lit(0).cast("long"), lambda a, x: a + x["words"])
+        listed = F.array_join(F.transform("runs", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["words"].cast("string"))), ",")
+        return rows.join(F.broadcast(s) if s.limit(10_001).count() <= 10_000 else s, rows["source"].eqNullSafe(s["source"])).select("doc_id", "size", "source_size", "target", words.alias("taken"), listed.alias("shards"))
 
     def rows(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-        """Return the mix itself: the columns of ``docs``, with ``mix_shard``, ``mix_pass`` and ``mix_slot``.
+        """Return the mix itself: the columns of ``docs``, then ``mix_shard``, ``mix_pass`` and ``mix_slot``.
 
         A text of which only a part is taken keeps its first words.  Rows are
         partitioned by shard and ordered by slot, a hash, within it.
         """
-        d = docs.withColumn("mix_size", word_count(F.col(text_col)))
-        d = d.withColumn("mix_block", self._block(F.col(id_col), F.col("mix_size")))
-        b = self._by_block().select(F.col("source").alias("mix_source"), F.col("block").alias("mix_own"), F.col("draws").alias("mix_draws"))
-        d = d.where("mix_size > 0").join(b, d[source_col].eqNullSafe(b["mix_source"]) & (F.col("mix_block") == F.col("mix_own")))
-        d = d.withColumn("mix_draw", F.explode("mix_draws")).withColumn("mix_words", self._words(F.col("mix_size"), F.col("mix_draw.part"))).where("mix_words > 0")
+        mark = "mix_"
+        while any(c.lower().startswith(mark) for c in docs.columns):
+            mark = "_" + mark
+        c = lambda name: F.col(mark + name)
+        d = docs.withColumn(mark + "size", word_count(F.col(text_col)))
+        d = d.withColumn(mark + "block", self._block(self._place(F.col(id_col), c("size"))))
+        b = self._by_block().select(F.col("source").alias(mark + "source"), F.col("block").alias(mark + "own"), F.col("draws").alias(mark + "draws"))
+        d = d.where(c("size") > 0).join(b, F.col(source_col).eqNullSafe(c("source")) & (c("block") == c("own")))
+        d = d.withColumn(mark + "draw", F.explode(c("draws"))).withColumn(mark + "words", self._words(c("size"), F.col(f"{mark}draw.part"))).where(c("words") > 0)
         parts = F.regexp_extract_all(F.col(text_col), F.lit(rf"[\x20\x09-\x0D]*{WORD}"), F.lit(0))
-        text = F.when(F.col("mix_words") == F.col("mix_size"), F.col(text_col)).otherwise(F.array_join(F.slice(parts, 1, F.col("mix_words").cast("int")), ""))
-        slot = F.xxhash64(F.lit(self.seed + 4), F.col(id_col), F.col("mix_size"), F.col("mix_draw.pass"))
-        columns = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
-        out = d.select(*columns, F.col("mix_draw.shard").alias("mix_shard"), F.col("mix_draw.pass").alias("mix_pass"), slot.alias("mix_slot"))
-        return out.repartition(self.shards, "mix_shard").sortWithinPartitions("mix_shard", "mix_slot")
+        text = F.when(c("words") == c("size"), F.col(text_col)).otherwise(F.array_join(F.slice(parts, 1, c("words").cast("int")), ""))
+        slot = F.xxhash64(F.lit(self.seed + 4), F.col(id_col), c("size"), F.col(f"{mark}draw.pass"))
+        columns = [text.alias(name) if name == text_col else F.col(name) for name in docs.columns]
+        out = d.select(*columns, F.col(f"{mark}draw.shard").alias(mark + "shard"), F.col(f"{mark}draw.pass").alias(mark + "pass"), slot.alias(mark + "slot"))
+        return out.repartition(self.shards, mark + "shard").sortWithinPartitions(mark + "shard", mark + "slot")

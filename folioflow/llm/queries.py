@@ -20,7 +20,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op1_chat_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repaired role, action and rendered text of every turn of every conversation."""
     got = chat_repair.repair(_table(spark, sf_dir, "conversations"))
-    return got.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "role", "action", "inserted", "new_role", "rendered")
+    return got.select(F.col("conv_id").cast("long").alias("conv_id"), "turn", "pos", "role", "action", "inserted", "new_role", "rendered")
 
 
 def op2_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
