@@ -35,9 +35,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from folioflow.llm.shared import small_batches
+
 MARK = "▁"
 #: Bytes of the segments that a worker remembers, about: between this number and twice as many.
-MEMO_BYTES, ENTRY_BYTES = 96 << 20, 230
+MEMO_BYTES, ENTRY_BYTES = 48 << 20, 230
 #: Characters beyond which a segment gets a heap of its own.
 LONG_SEGMENT = 40
 #: Segments that share an agenda, so that its arrays stay in the processor's cache.
@@ -287,6 +289,7 @@ def encode_rows(docs: DataFrame, model: str, text_col: str, columns: dict[str, T
     ``model`` is a path that executors can read.  Batches are taken in steps of
     ``STEP_BYTES`` of text, or one longer text, so memory is bounded by these and the memo.
     """
+    small_batches(docs.sparkSession)
     kept = _others(docs.schema, columns)
     names = [f.name for f in kept]
     schema = T.StructType([*kept, *(T.StructField(k, v) for k, v in columns.items())])
@@ -330,6 +333,7 @@ def encode(docs: DataFrame, model: str, text_col: str = "text", ids_col: str = "
 
 def decode(rows: DataFrame, model: str, ids_col: str = "ids", text_col: str = "decoded", rows_per_step: int = 200) -> DataFrame:
     """Add the text that ids stand for, in place of a column of that name; a null array gives the empty text."""
+    small_batches(rows.sparkSession)
     kept = _others(rows.schema, [text_col])
     names = [f.name for f in kept]
     schema = T.StructType([*kept, T.StructField(text_col, T.StringType())])

@@ -33,6 +33,7 @@ import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.llm.shared import small_batches
 from folioflow.llm.textvec import slices
 
 PER_LANGUAGE = 300
@@ -198,6 +199,7 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
 
 def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return doc_id, lang_pred, score and nats (the shortest code length) for every row."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     limit = max(1 << 16, (1 << 22) // max(4, len(model.languages)))
 

@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import discard, materialize
+from folioflow.llm.shared import discard, materialize, small_batches
 from folioflow.llm.textvec import Texts, slices, windows
 
 MIN_WORDS = 20
@@ -111,6 +111,7 @@ def measure(texts: Texts) -> dict[str, np.ndarray]:
 
 def with_features(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
     """Add the counts of ``text_col`` to the rows of ``docs``, named prefix + feature."""
+    small_batches(docs.sparkSession)
     schema = T.StructType([*docs.schema.fields, *(T.StructField(prefix + name, T.LongType()) for name in FEATURES)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import materialize, new_path
+from folioflow.llm.shared import materialize, new_path, small_batches
 
 
 @dataclass(frozen=True)
@@ -131,6 +131,7 @@ def scan_history(versions: DataFrame, ledger: str, id_cols: list[str], text_col:
     later rows equal the earlier ones and reading drops them.
     """
     spark = versions.sparkSession
+    small_batches(spark)
     rows = with_blob(versions.select(*id_cols, F.col(text_col).alias("text")), "text")
     fresh = scan_unseen(rows.select("blob", F.coalesce("text", F.lit("")).alias("text")), _ledger(spark, ledger), rules)
     fresh.write.mode("append").parquet(ledger)

@@ -2,7 +2,8 @@
 
 A table goes below ``spark.checkpoint.dir`` of the session, so that it survives
 lost executors.  Only where that setting is absent (local tests) is a folder in
-the warehouse directory used instead.
+the warehouse directory used instead.  Operators that send texts to Python lower the
+session's rows of an Arrow batch.
 """
 
 from __future__ import annotations
@@ -30,6 +31,16 @@ def new_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+#: Rows of an Arrow batch: texts of ten thousand rows at a time are tens of MB in every buffer on the way.
+BATCH_ROWS, _BATCH_KEY, _SPARKS_OWN = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch", "10000"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lower the session's rows of an Arrow batch, unless it has a setting of its own."""
+    if spark.conf.get(_BATCH_KEY) == _SPARKS_OWN:
+        spark.conf.set(_BATCH_KEY, BATCH_ROWS)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession

@@ -22,12 +22,13 @@ differ in; a pair whose folded sketches differ in more than ``k`` bits cannot
 link, and the exact check of the token sets has the last word.
 
 Candidates are not expanded to all pairs.  Each set is first tried with the
-smallest member of the buckets that it shares most often.  Then only buckets that
-still hold several components are looked at, and in them only pairs of one member
-outside the bucket's largest component with any member of another component:
-first the closest partner of each member, in the end all pairs that the sketch
-allows, so the components are exact.  Buckets are dealt out in blocks of members,
-and a key that many sets of a task have is not gathered to be found as shared.
+smallest member of the buckets that it shares most often.  Then buckets of up to
+``SMALL_BUCKET`` sets offer their pairs of different components.  Of larger ones only
+those that still hold several components are looked at, and in them only pairs of
+one member outside the bucket's largest component with any member of another
+component: first the closest partner of each member, in the end all pairs that the
+sketch allows, so the components are exact.  Large buckets are dealt out in blocks
+of members, and a key that many sets of a task have is not gathered to be found.
 
 Defined edge cases: null and empty texts have the empty set, size 0, and link
 with nothing; texts with fewer than ``width`` words have one shingle, the whole
@@ -47,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.components import connected_components
-from folioflow.llm.shared import discard, materialize
+from folioflow.llm.shared import discard, materialize, small_batches
 from folioflow.llm.textvec import U64, Texts, mix, slices, windows
 
 BAND_RATIO = 1.4
@@ -62,6 +63,8 @@ HOT_IN_FLUSH = 16
 LEAST_FILTER, MOST_FILTER = 1 << 12, 1 << 21
 #: Bits of a folded sketch for each bit that linked sets may differ in, and the largest sketch.
 SKETCH_BITS, MOST_BITS = 12, 1 << 16
+#: Members up to which a bucket offers all its pairs.
+SMALL_BUCKET = 8
 #: Members of a bucket that are compared in one place, and rows that such places hold on average.
 ROWS_PER_BLOCK = 256
 ROWS_PER_GROUP = 8192
@@ -113,6 +116,31 @@ def unpacked(sketches: list[bytes]) -> np.ndarray:
     return out
 
 
+def distances(left: pa.Array, right: pa.Array) -> np.ndarray:
+    """Return the bits in which the sketches of each row differ, folded to the shorter one."""
+    (da, oa), (db, ob) = _bytes(left), _bytes(right)
+    na, nb = np.diff(oa), np.diff(ob)
+    out = np.zeros(len(na), np.int64)
+    for a, b in {*zip(na.tolist(), nb.tolist())}:
+        rows, least = np.flatnonzero((na == a) & (nb == b)), min(a, b)
+        step = max(1, 8 * WORDS_AT_ONCE // (a + b))
+        for i in range(0, len(rows), step):
+            own = rows[i : i + step]
+            x, y = (d[o[own][:, None] + np.arange(n)].view(U64) for d, o, n in ((da, oa, a), (db, ob, b)))
+            x, y = (np.bitwise_xor.reduce(v.reshape(len(own), -1, least // 8), axis=1) for v in (x, y))
+            out[own] = np.bitwise_count(x ^ y).sum(axis=1)
+    return out
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The data of a binary column, and its offsets."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    column = column.cast(pa.large_binary())
+    _, offsets, data = column.buffers()
+    return np.frombuffer(data, np.uint8) if data is not None else np.empty(0, np.uint8), np.frombuffer(offsets, np.int64, count=len(column) + 1, offset=8 * column.offset)
+
+
 class Bands:
     """Size bands, each with its number of parts, for a threshold num/den."""
 
@@ -331,6 +359,7 @@ class ParitySketchJoin:
     def __init__(self, docs: DataFrame, id_col: str, text_col: str, width: int, num: int, den: int):
         if width < 1 or not 0 < num <= den:
             raise ValueError("width must be positive and 0 < num <= den")
+        small_batches(docs.sparkSession)
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
         self.width, self.num, self.den = width, num, den
         self.sets = self._describe()
@@ -351,7 +380,7 @@ class ParitySketchJoin:
         return materialize(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"), "sets")
 
     def _shared(self) -> DataFrame:
-        """(key, cid, center): members of all buckets with two sets or more that share enough keys."""
+        """(key, cid, center, m): members of all buckets with two sets or more that share enough keys, and how many."""
         width, num, den = self.width, self.num, self.den
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         buckets = max(64, math.ceil(3 * (den - num) / (den + num) * total / KEYS_PER_BUCKET))
@@ -385,8 +414,8 @@ class ParitySketchJoin:
         left = materialize(found.join(strong, ["cid", "band"]).select("key", "cid").distinct(), "strong")
         discard(found)
         # Written before the join, so that a key with many members can be split.
-        keys = materialize(left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1").select("key", "center"), "keys")
-        shared = materialize(left.join(keys, "key").select("key", "cid", "center"), "shared")
+        keys = materialize(left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1"), "keys")
+        shared = materialize(left.join(keys, "key").select("key", "cid", "center", "m"), "shared")
         discard(left, keys)
         return shared
 
@@ -429,12 +458,7 @@ class ParitySketchJoin:
 
         @F.arrow_udf("boolean")
         def allowed(na: pa.Array, nb: pa.Array, sa: pa.Array, sb: pa.Array) -> pa.Array:
-            out = np.empty(len(na), bool)
-            na, nb = na.to_numpy(), nb.to_numpy()
-            for i, both in enumerate(zip(sa.to_pylist(), sb.to_pylist())):
-                x = unpacked(list(both))
-                out[i] = int(np.bitwise_count(x[0] ^ x[1]).sum()) * (den + num) <= (den - num) * int(na[i] + nb[i])
-            return pa.array(out)
+            return pa.array(distances(sa, sb) * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
 
         size = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
         near = materialize(near.where(size).where(allowed("na", "nb", "sa", "sb")).select("a", "b", "na", "nb"), "near")
@@ -454,10 +478,14 @@ class ParitySketchJoin:
         tested = materialize(first.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct(), "tested")
         links = self._verify(tested)
         labels = materialize(connected_components(links).withColumnRenamed("node", "cid"), "labels")
+        few = materialize(self._small_pairs(shared.where(F.col("m") <= SMALL_BUCKET), labels).join(tested, ["a", "b"], "left_anti"), "pairs")
+        labels = self._merge(labels, self._verify(few))
+        tested = tested.union(few)
+        large = shared.where(F.col("m") > SMALL_BUCKET)
         rounds = [True] * CLOSEST_ROUNDS + [False]
         while rounds:
             closest = rounds.pop(0)
-            pairs = self._open_pairs(shared, labels, closest).join(tested, ["a", "b"], "left_anti")
+            pairs = self._open_pairs(large, labels, closest).join(tested, ["a", "b"], "left_anti")
             new = materialize(pairs, "pairs")
             if new.isEmpty():
                 rounds = rounds[-1:] if closest else []
@@ -470,6 +498,14 @@ class ParitySketchJoin:
         discard(shared, self.members)
         return labels
 
+    @staticmethod
+    def _small_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
+        """Pairs (a, b) of different components in buckets of a bounded size."""
+        own = materialize(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")), "own")
+        left = own.select("key", F.col("cid").alias("a"), F.col("label").alias("la"))
+        right = own.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
+        return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
+
     def _open_pairs(self, shared: DataFrame, labels: DataFrame, closest: bool) -> DataFrame:
         """Untried pairs (a, b) of different components that share a key."""
         own = materialize(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")), "own")
