@@ -40,7 +40,7 @@ def tokens(text: Column) -> Column:
 
 def token_set(text: Column) -> Column:
     """The distinct lower-case tokens of two characters or more, for containment tests."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"(?U)[\w.,]+"), F.lit(0)), lambda t: F.length(t) >= 2))
+    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(text), F.lit(r"[\p{L}\p{N}_.,]+"), F.lit(0)), lambda t: F.length(t) >= 2))
 
 
 def contextual_text(chapter: Column, section: Column, heading: Column, content: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.sources.scratch import written
+
 ALPHA, BETA = 0.4, 0.6
 
 
@@ -25,21 +27,33 @@ def metadata_filter(filters: dict[str, str | int | None], columns: list[str]) ->
 
 
 def parse_filters(text: str) -> dict[str, str]:
-    """Parse ``filter: key=value`` (also several, by comma) as typed by a user."""
-    body = text.split(":", 1)[1] if text.lower().startswith("filter:") else text
-    pairs = (p.split("=", 1) for p in body.split(",") if "=" in p)
-    return {k.strip(): v.strip() for k, v in pairs}
+    """Parse ``filter: key=value`` as typed by a user: one pair, cut at its first ``=``; quotes around the value go."""
+    body = text[len("filter:") :] if text.startswith("filter:") else text
+    key, equals, value = body.strip().partition("=")
+    return {key.strip(): value.strip().strip("'\"")} if equals else {}
 
 
 def fuse(candidates: DataFrame, lexical: DataFrame, alpha: float = ALPHA, beta: float = BETA, digits: int = 6) -> DataFrame:
     """Return (query_id, id, score, lexical, semantic) of candidates (query_id, id, semantic).
 
-    Both scores are rounded before they are scaled, so that equal texts tie.
+    Both scores are rounded before they are scaled, so that equal texts tie.  The
+    pairs are written once; their bounds are one row for each query.
     """
     both = candidates.join(lexical, ["query_id", "id"], "left")
-    both = both.select("query_id", "id", F.round("semantic", digits).alias("semantic"), F.round(F.coalesce("lexical", F.lit(0.0)), digits).alias("lexical"))
-    score = alpha * min_max(F.col("lexical"), ["query_id"]) + beta * min_max(F.col("semantic"), ["query_id"])
-    return both.withColumn("score", F.round(score, digits))
+    both = written(both.select("query_id", "id", F.round("semantic", digits).alias("semantic"), F.round(F.coalesce("lexical", F.lit(0.0)), digits).alias("lexical")), "pairs")
+    names = ("lexical", "semantic")
+    bounds = both.groupBy("query_id").agg(*(f(c).alias(f"{k}_{c}") for c in names for k, f in (("low", F.min), ("high", F.max))))
+    scaled = lambda c: F.when(F.col(f"high_{c}") == F.col(f"low_{c}"), F.lit(1.0)).otherwise((F.col(c) - F.col(f"low_{c}")) / (F.col(f"high_{c}") - F.col(f"low_{c}")))
+    score = alpha * scaled("lexical") + beta * scaled("semantic")
+    return both.join(bounds, "query_id").select("query_id", "id", "semantic", "lexical", F.round(score, digits).alias("score"))
+
+
+def payload(chunks: DataFrame) -> DataFrame:
+    """Return what a search hands out for each chunk (chunk_id first), with defaults for what is missing."""
+    has = {c.lower() for c in chunks.columns}
+    own = lambda name, value: (F.coalesce(F.col(name), value) if name in has else value).alias(name)
+    none = F.array().cast("array<int>")
+    return chunks.select("chunk_id", own("logical_page", none), own("pdf_page", F.lit(0)), *(own(c, F.lit("")) for c in ("chapter", "section", "current_heading", "content")))
 
 
 def top_k(fused: DataFrame, k: int) -> DataFrame:

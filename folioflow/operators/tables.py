@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 #: Least token overlap of a match and of what is attached to it, row ratio, gaps.
 MATCH, ATTACH, ROW_RATIO, GAP, EDGE, FIT = 0.60, 0.25, (0.4, 3.0), 40.0, 5.0, 1.5
 SEPARATOR = " - "
+#: Tokens that are broadcast at most.
+BROADCAST_TOKENS = 200_000
 
 
 def flatten_headers(cells: DataFrame) -> DataFrame:
@@ -47,11 +49,14 @@ def best_container(parts: DataFrame, wholes: DataFrame, least: float = MATCH) ->
 
     ``parts`` is (part_id, tokens) and ``wholes`` (whole_id, tokens), of distinct
     tokens; ties go to the smaller whole_id, empty sets match nothing.  Tokens are
-    joined by value and counted, so no pair without a common token is made.
+    joined by value and counted, so no pair without a common token is made; where
+    the parts are few, by count, they are broadcast, and other tokens of the wholes
+    go no further.
     """
     p = parts.select("part_id", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     w = wholes.select("whole_id", F.explode("tokens").alias("token"))
-    common = p.join(w, "token").groupBy("part_id", "whole_id", "n").agg(F.count("*").alias("m"))
+    few = p.limit(BROADCAST_TOKENS + 1).count() <= BROADCAST_TOKENS
+    common = w.join(F.broadcast(p) if few else p, "token").groupBy("part_id", "whole_id", "n").agg(F.count("*").alias("m"))
     scored = common.withColumn("overlap", F.col("m") / F.col("n"))
     order = Window.partitionBy("part_id").orderBy(F.col("overlap").desc(), "whole_id")
     return scored.withColumn("k", F.row_number().over(order)).where((F.col("k") == 1) & (F.col("overlap") >= least)).select("part_id", "whole_id", "overlap")

@@ -17,6 +17,7 @@ from folioflow.functions import text as T
 from folioflow.operators import chat, chunk, enrich, evaluate, hybrid, layout, lexical, pages, providers, tables, toc, vector
 from folioflow.plans import sql
 from folioflow.sources import files
+from folioflow.sources.scratch import spread
 
 TOP_K = 10
 RECALL_AT = (1, 3, 5, 10)
@@ -36,13 +37,16 @@ def _marked(mark: str) -> Column:
 
 def tokenize_stats(spark: SparkSession, d: str) -> DataFrame:
     """Tokens of every document."""
-    t = _read(spark, d, "documents").select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
+    t = spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", T.tokens(F.coalesce("text", F.lit(""))).alias("t"))
     return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.size(F.array_distinct("t")).cast("long").alias("n_distinct"), F.md5(F.array_join("t", " ")).alias("digest"))
 
 
+def _index(spark: SparkSession, d: str) -> lexical.Index:
+    return lexical.Index(spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()), "doc_id", F.col("text"))
+
+
 def _bm25(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents").where(F.col("text").isNotNull())
-    return lexical.scores(_read(spark, d, "benchmark"), docs, "item_id", "text", "doc_id", F.col("text"))
+    return _index(spark, d).scores(_read(spark, d, "benchmark"), "item_id", "text")
 
 
 def bm25_topk(spark: SparkSession, d: str) -> DataFrame:
@@ -88,9 +92,10 @@ def hybrid_filtered_topk(spark: SparkSession, d: str) -> DataFrame:
 
 def _details(spark: SparkSession, d: str) -> DataFrame:
     items, docs = _read(spark, d, "benchmark"), _read(spark, d, "documents").where(F.col("text").isNotNull())
-    holds = items.select("item_id", F.col("text").alias("passage")).join(docs, F.contains(F.col("text"), F.col("passage"))).groupBy("item_id").agg(F.array_sort(F.collect_list("doc_id")).alias("gold"))
-    questions = evaluate.evaluated(holds.select(F.col("item_id").alias("query_id"), "gold", F.lit(True).alias("answerable")))
-    ranked = lexical.top_k(_bm25(spark, d), max(RECALL_AT)).select("query_id", "rank", F.array("id").alias("pages"))
+    index = _index(spark, d)
+    holds = index.holding(items, docs, "item_id", "text", "doc_id", "text").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("gold"))
+    questions = evaluate.evaluated(holds.select("query_id", "gold", F.lit(True).alias("answerable")))
+    ranked = lexical.top_k(index.scores(items, "item_id", "text"), max(RECALL_AT)).select("query_id", "rank", F.array("id").alias("pages"))
     return evaluate.recall_details(questions, ranked, RECALL_AT)
 
 
@@ -106,7 +111,7 @@ def recall_at_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, d: str, expression: str) -> DataFrame:
-    docs = _read(spark, d, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.coalesce("text", F.lit("")).alias("body"))
     return docs.select("doc_id", F.posexplode(F.expr(expression)).alias("seq", "segment")).select("doc_id", F.col("seq").cast("long").alias("seq"), F.length("segment").cast("long").alias("n"), F.md5("segment").alias("digest"))
 
 
@@ -122,12 +127,12 @@ def paragraph_pack(spark: SparkSession, d: str) -> DataFrame:
 
 def heading_blocks(spark: SparkSession, d: str) -> DataFrame:
     """Heading and body of every block of documents with derived headings."""
-    docs = _read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", F.posexplode(chunk.heading_blocks(_marked("### "))).alias("block", "b"))
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).select("doc_id", F.posexplode(chunk.heading_blocks(_marked("### "))).alias("block", "b"))
     return docs.select("doc_id", F.col("block").cast("long").alias("block"), F.col("b.heading").alias("heading"), F.md5("b.body").alias("digest"))
 
 
 def _pages(spark: SparkSession, d: str) -> DataFrame:
-    docs = _read(spark, d, "documents")
+    docs = spread(_read(spark, d, "documents"))
     return docs.select(
         F.col("source").alias("doc_id"), F.col("doc_id").alias("page_seq"), F.array(F.col("doc_id").cast("int")).alias("logical_page"), F.col("doc_id").cast("int").alias("pdf_page"),
         F.col("source").alias("chapter"), F.col("lang").alias("section"), F.array().cast("array<string>").alias("current_headings"), F.when(F.col("text").startswith("T"), F.col("text")).otherwise(_marked("### ")).alias("content"),
@@ -148,7 +153,7 @@ def chunk_document(spark: SparkSession, d: str) -> DataFrame:
 
 def heading_merge(spark: SparkSession, d: str) -> DataFrame:
     """Blocks of every document after headings without a body joined the next."""
-    docs = _read(spark, d, "documents").where(F.col("text").isNotNull()).withColumn("blocks", chunk.heading_blocks(_marked("### ")))
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).withColumn("blocks", chunk.heading_blocks(_marked("### ")))
     x = docs.select("doc_id", F.posexplode(chunk.merge_headings("blocks")).alias("block", "m"))
     return x.select("doc_id", F.col("block").cast("long").alias("block"), F.md5("m.heading").alias("heading"), F.md5("m.prefix").alias("prefix"), F.md5("m.body").alias("body"))
 
@@ -190,14 +195,14 @@ def spread_mapping(spark: SparkSession, d: str) -> DataFrame:
 def heading_sanitize(spark: SparkSession, d: str) -> DataFrame:
     """Documents with derived level-1 headings and fences, with the headings lowered."""
     fenced = F.regexp_replace(_marked("# "), "(^|\n)(T)", "$1```\n$2")
-    docs = _read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", fenced.alias("content"))
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).select("doc_id", fenced.alias("content"))
     return docs.select("doc_id", F.md5(layout.sanitize_headings("content")).alias("digest"))
 
 
 def abbrev_expand(spark: SparkSession, d: str) -> DataFrame:
     """Common words of all documents written out once, as abbreviations would be."""
     terms = spark.createDataFrame([(i, t, x) for i, (t, x) in enumerate(ABBREVIATIONS)], "ord int, term string, definition string")
-    docs = _read(spark, d, "documents").where(F.col("text").isNotNull()).select("doc_id", "text")
+    docs = spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull())
     return enrich.expand(docs, terms).select("doc_id", F.md5("text").alias("digest"))
 
 
@@ -209,8 +214,8 @@ def abbrev_dictionary(spark: SparkSession, d: str) -> DataFrame:
 
 def containment_match(spark: SparkSession, d: str) -> DataFrame:
     """Document that holds most of every benchmark text's tokens."""
-    parts = _read(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
-    wholes = _read(spark, d, "documents").where(F.col("text").isNotNull()).select(F.col("doc_id").alias("whole_id"), F.array_distinct(T.tokens(F.col("text"))).alias("tokens"))
+    parts = _read(spark, d, "benchmark").select(F.col("item_id").alias("part_id"), T.token_set(F.col("text")).alias("tokens"))
+    wholes = spread(_read(spark, d, "documents").select("doc_id", "text")).where(F.col("text").isNotNull()).select(F.col("doc_id").alias("whole_id"), T.token_set(F.col("text")).alias("tokens"))
     x = tables.best_container(parts, wholes)
     return x.select(F.col("part_id").alias("item_id"), F.col("whole_id").alias("doc_id"), F.round("overlap", 6).alias("overlap"))
 

@@ -112,8 +112,8 @@ SELECT doc_id, md5(string_agg(CASE WHEN n % 2 = 1 OR regexp_matches(x, '^\\s*```
 p AS (SELECT seq, trim(t) AS t, trim(d) AS d FROM v WHERE t <> 'Thuật ngữ' AND d <> 'Định nghĩa' AND trim(t) <> ''),
 x AS (SELECT seq, CASE WHEN regexp_matches(t, '^(.*?)\\s*\\(([^)]+)\\)$') THEN trim(regexp_extract(t, '^(.*?)\\s*\\(([^)]+)\\)$', 2)) ELSE t END AS term, CASE WHEN regexp_matches(t, '^(.*?)\\s*\\(([^)]+)\\)$') THEN trim(regexp_extract(t, '^(.*?)\\s*\\(([^)]+)\\)$', 1)) ELSE d END AS def, regexp_matches(t, '^(.*?)\\s*\\(([^)]+)\\)$') AS inv FROM p)
 SELECT min(seq)::BIGINT AS ord, term, arg_max(def, seq) AS definition FROM x WHERE inv OR def <> '' GROUP BY term""",
-        "containment_match": f"""WITH p AS (SELECT item_id, len(t) AS n, unnest(t) AS k FROM (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '{TOKEN}')) AS t FROM benchmark)),
-w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '{TOKEN}')) AS k FROM documents),
+        "containment_match": """WITH p AS (SELECT item_id, len(t) AS n, unnest(t) AS k FROM (SELECT item_id, list_distinct(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_.,]+'), lambda x: length(x) >= 2)) AS t FROM benchmark)),
+w AS (SELECT DISTINCT doc_id, unnest(list_filter(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_.,]+'), lambda x: length(x) >= 2)) AS k FROM documents),
 s AS (SELECT item_id, doc_id, count(*) / max(n)::DOUBLE AS o FROM p JOIN w USING (k) GROUP BY ALL)
 SELECT item_id, doc_id, round(o, 6) AS overlap FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY o DESC, doc_id) AS r FROM s) WHERE r = 1 AND o >= 0.6""",
         "adjacency_groups": """WITH e AS (SELECT user_id, event_id, epoch_us(ts) AS us FROM events), j AS (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY user_id ORDER BY us, event_id) > 3600000000 THEN 1 ELSE 0 END AS g FROM e),
