@@ -43,8 +43,14 @@ def unquoted(text: Column) -> Column:
     return F.regexp_replace(strip(text), "^[\"']+|[\"']+$", "")
 
 
-def source_line(ranked: DataFrame) -> DataFrame:
-    """Return (query_id, sources) of the first three results (query_id, rank, pages, heading)."""
-    text = F.concat(F.lit("tr "), F.array_join(F.col("pages").cast("array<string>"), ", "), F.lit(": "), F.col("heading"))
-    first = ranked.where(F.col("rank") <= 3).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))).alias("s"))
-    return first.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), "; ").alias("sources"))
+def stub_rewrite(prompts: list[str]) -> list[str]:
+    """The question as it stands in a rewrite's prompt, for tests."""
+    return [(p or "").rstrip().split("\n")[-1] for p in prompts]
+
+
+def source_line(ranked: DataFrame, first: int = 3) -> DataFrame:
+    """Return (query_id, sources): a line for each of the first results (query_id, rank, logical_page, score, chapter, current_heading)."""
+    pages = F.concat(F.lit("["), F.array_join(F.col("logical_page").cast("array<string>"), ", "), F.lit("]"))
+    text = F.concat(F.lit("• [Trang "), pages, F.lit("] (Score: "), F.format_string("%.4f", "score"), F.lit(") "), F.col("chapter"), F.lit(" > "), F.col("current_heading"))
+    lines = ranked.where(F.col("rank") <= first).groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", text.alias("t")))).alias("s"))
+    return lines.select("query_id", F.array_join(F.transform("s", lambda x: x["t"]), "\n").alias("sources"))

@@ -109,7 +109,9 @@ def carry_headings(pages: DataFrame) -> DataFrame:
     The heading after a page is its own last one, cleaned and without its path;
     a page without any keeps what came before it.  So the inherited heading is
     the last own heading of earlier pages, else the seed of the first page that
-    was continued, else the page's own seed.  Blank pages are dropped first.
+    was continued, else the page's own seed.  Blank pages are dropped first.  Only
+    headings go through the window over a document; they are joined back to the
+    texts by (doc_id, page_seq), which is taken to be unique.
     """
     body = F.replace(F.coalesce("content", F.lit("")), F.lit("\r\n"), F.lit("\n"))
     seed = F.coalesce(F.expr("nullif(try_element_at(current_headings, -1), '')"), F.expr("nullif(section, '')"), F.expr("nullif(chapter, '')"), F.lit(UNTITLED))
@@ -121,7 +123,9 @@ def carry_headings(pages: DataFrame) -> DataFrame:
     named = named.withColumn("seed", seed).withColumn("continued", ~starts).withColumn("given", F.when(F.col("continued"), path))
     before = Window.partitionBy("doc_id").orderBy("page_seq").rowsBetween(Window.unboundedPreceding, -1)
     inherited = F.coalesce(F.last("own", True).over(before), F.first("given", True).over(before), F.col("seed"))
-    named = named.withColumn("inherited", inherited)
+    narrow = named.select("doc_id", "page_seq", "own", "given", "seed").withColumn("inherited", inherited)
+    narrow = narrow.select(F.col("doc_id").alias("_doc"), F.col("page_seq").alias("_page"), "inherited")
+    named = named.join(narrow, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_seq") == F.col("_page"))).drop("_doc", "_page")
     return named.withColumn("text", F.when(F.col("continued"), F.concat(F.lit("### "), F.col("inherited"), F.lit(CONTINUED + "\n\n"), F.col("text"))).otherwise(F.col("text"))).drop("own", "seed", "given")
 
 

@@ -51,15 +51,17 @@ def _changed(column: str, order: Window) -> Column:
 def carry_h3(pages: DataFrame) -> DataFrame:
     """Add ``current_h3``: a page's last level-3 heading, else the one before it in the same chapter and section.
 
-    Rows are ordered by page_seq within doc_id; rows that only set the context (a
-    spread's event, with null content) take part and may be filtered afterwards.
+    Rows are ordered by page_seq within doc_id, which tell them apart; rows that only
+    set the context (a spread's event, with null content) take part and may be filtered
+    afterwards.  Only headings go through the windows, not the contents.
     """
     order = Window.partitionBy("doc_id").orderBy("page_seq")
-    runs = pages.withColumn("_new", (_changed("chapter", order) | _changed("section", order)).cast("int"))
+    narrow = pages.select("doc_id", "page_seq", "chapter", "section", h3_titles(F.col("content")).alias("_titles")).withColumn("_own", F.expr("try_element_at(_titles, -1)")).drop("_titles")
+    runs = narrow.withColumn("_new", (_changed("chapter", order) | _changed("section", order)).cast("int"))
     runs = runs.withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    own = F.expr("try_element_at(_titles, -1)")
     within = Window.partitionBy("doc_id", "_run").orderBy("page_seq").rowsBetween(Window.unboundedPreceding, 0)
-    return runs.withColumn("_titles", h3_titles(F.col("content"))).withColumn("current_h3", F.last(own, True).over(within)).drop("_new", "_run", "_titles")
+    state = runs.select(F.col("doc_id").alias("_doc"), F.col("page_seq").alias("_page"), F.last("_own", True).over(within).alias("current_h3"))
+    return pages.join(state, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("page_seq") == F.col("_page"))).drop("_doc", "_page")
 
 
 def sanitize_headings(content: str) -> Column:
@@ -83,8 +85,22 @@ def change_flags(pages: DataFrame) -> DataFrame:
     return pages.withColumn("new_chapter", first).withColumn("new_section", section)
 
 
+#: The lines that end a context, with a section and without.
+BOUND_RULES = (
+    "* HƯỚNG DẪN ĐỀ MỤC BẮT BUỘC:",
+    "  + TUYỆT ĐỐI KHÔNG dùng '#' hoặc '##' (đã dành riêng cho Chương và Ý chính).",
+    "  + Nếu nội dung trang này là phần viết tiếp của tiểu mục trước: tiếp tục trình bày nội dung, không lặp lại đề mục '###'.",
+    "  + Nếu xuất hiện ý nhỏ mới trong trang: bắt buộc dùng '###' (hoặc '####' cho phân cấp sâu hơn).",
+)
+FREE_RULES = (
+    "* Hướng dẫn kế thừa phân cấp:",
+    "  + Nếu trang hiện tại là nội dung tiếp nối, hãy gán cấp độ đề mục phù hợp tương ứng theo phân cấp trên.",
+    "  + Nếu trang hiện tại bắt đầu một chủ đề lớn mới hoặc chương mới, hãy sử dụng đề mục # cô đọng độc lập tương ứng.",
+)
+
+
 def prompt_context(state: DataFrame) -> DataFrame:
-    """Add ``context``: a short text of the headings that are open after a page.
+    """Add ``context``: a short text of the headings that are open after a page, and how to go on from them.
 
     ``state`` has chapter, section and ``open``, an array of (level, title).
     """
@@ -96,7 +112,7 @@ def prompt_context(state: DataFrame) -> DataFrame:
     fixed = F.concat_ws(
         "\n", F.lit("[NGỮ CẢNH PHÂN CẤP TÀI LIỆU]:"), F.concat(F.lit("- Chương (#): "), F.expr("nullif(chapter, '')")), F.concat(F.lit("- Ý chính (##): "), F.col("section")),
         F.concat(F.lit("- Tiểu mục cấp 3 (###) đang mở từ trang trước: "), h3), F.when(F.size("open") > 0, F.concat(F.lit("- Cây phân cấp hiện tại: "), F.when(F.expr("nullif(chapter, '')").isNotNull(), F.lit("H1 (#) > ")).otherwise(F.lit("")), F.lit("H2 (##) > "), path)),
-        F.concat(F.lit("- Đề mục gần nhất vừa hoàn thành: "), mark(last)),
+        F.concat(F.lit("- Đề mục gần nhất vừa hoàn thành: "), mark(last)), *map(F.lit, BOUND_RULES),
     )
-    free = F.concat_ws("\n", F.lit("[NGỮ CẢNH ĐỀ MỤC TỪ CÁC TRANG TRƯỚC]:"), F.concat(F.lit("- Đề mục cấp 1 (#) đang mở: "), F.coalesce(F.concat(F.lit("# "), h1), F.lit("Không có"))), F.concat(F.lit("- Cây phân cấp hiện tại: "), path), F.concat(F.lit("- Đề mục gần nhất vừa hoàn thành: "), mark(last)))
+    free = F.concat_ws("\n", F.lit("[NGỮ CẢNH ĐỀ MỤC TỪ CÁC TRANG TRƯỚC]:"), F.concat(F.lit("- Đề mục cấp 1 (#) đang mở: "), F.coalesce(F.concat(F.lit("# "), h1), F.lit("Không có"))), F.concat(F.lit("- Cây phân cấp hiện tại: "), path), F.concat(F.lit("- Đề mục gần nhất vừa hoàn thành: "), mark(last)), *map(F.lit, FREE_RULES))
     return state.withColumn("context", F.when(F.col("section").isNotNull(), fixed).when(F.size("open") > 0, free).otherwise(F.lit("")))

@@ -8,6 +8,7 @@ need no network.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import time
 from collections.abc import Callable, Iterator
@@ -68,6 +69,15 @@ def stub_answer(prompts: list[str]) -> list[str]:
     return [next((line for line in (p or "").split("\n") if line.startswith("[Trang")), "") for p in prompts]
 
 
+def stub_page(prompts: list[str]) -> list[str]:
+    """A page's answer with one block a half, from the prompt's chapter and section, for tests."""
+    out = []
+    for p in prompts:
+        named = re.findall(r"^- (?:Chương \(#\)|Ý chính \(##\)): (.*)$", p or "", re.M)
+        out.append(json.dumps({"blocks": [{"location": side, "content": f"# {' / '.join(named)}\n{side} text"} for side in ("left", "right")]}, ensure_ascii=False))
+    return out
+
+
 def apply(rows: DataFrame, provider: Provider, input_col: str, output_col: str, kind: T.DataType, batch: int = 50) -> DataFrame:
     """Add a provider's output; filter rows first, as no filter is pushed through it."""
     schema = T.StructType([*rows.schema.fields, T.StructField(output_col, kind)])

@@ -1,4 +1,4 @@
-"""Tables of scanned pages: header grids, matching against detected tables, geometry."""
+"""Tables as rows: header grids, containment, runs, rectangles; reconcile.py has whole pages."""
 
 from __future__ import annotations
 
@@ -25,10 +25,10 @@ def flatten_headers(cells: DataFrame) -> DataFrame:
     own = cells.select("table_id", F.struct("r", "cell_seq", span("rowspan").alias("h"), span("colspan").alias("w"), F.trim("text").alias("t")).alias("x"))
     rows = own.groupBy("table_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
     # The fold keeps the covered places and the column after the last cell of the row.
-    covered = "flatten(transform(sequence(0, x.h - 1), i -> transform(sequence(0, x.w - 1), j -> named_struct('r', x.r + i, 'c', col + j, 'n', x.r * 10000 + x.cell_seq, 't', x.t))))"
+    covered = "flatten(transform(sequence(0, x.h - 1), i -> transform(sequence(0, x.w - 1), j -> named_struct('r', x.r + i, 'c', col + j, 'n', bigint(x.r) * 4294967296 + x.cell_seq, 't', x.t))))"
     free = "element_at(filter(sequence(if(s.row = x.r, s.next, 0), if(s.row = x.r, s.next, 0) + size(s.grid)), k -> NOT exists(s.grid, g -> g.r = x.r AND g.c = k)), 1)"
     step = f"(s, x) -> element_at(transform(array({free}), col -> named_struct('row', x.r, 'next', col + x.w, 'grid', concat(s.grid, {covered}))), 1)"
-    start = "named_struct('row', -1, 'next', 0, 'grid', cast(array() AS array<struct<r:int,c:int,n:int,t:string>>))"
+    start = "named_struct('row', -1, 'next', 0, 'grid', cast(array() AS array<struct<r:int,c:int,n:bigint,t:string>>))"
     grid = rows.select("table_id", F.expr(f"inline(aggregate(xs, {start}, {step}, s -> s.grid))"))
     top = grid.groupBy("table_id", "r", "c").agg(F.max_by("t", "n").alias("t"))
     texts = top.groupBy("table_id", "c").agg(F.array_sort(F.collect_list(F.struct("r", "t"))).alias("ts"))
@@ -36,14 +36,6 @@ def flatten_headers(cells: DataFrame) -> DataFrame:
     return texts.select("table_id", "c", F.expr(f"array_join({once}, '{SEPARATOR}')").alias("name"))
 
 
-def header_row_html(names: DataFrame) -> DataFrame:
-    """Return (table_id, html): the flattened header (table_id, c, name) as one row."""
-    escaped = F.replace(F.replace(F.replace("name", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    cell = F.concat(F.lit("<th>"), escaped, F.lit("</th>"))
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", cell.alias("h")))), lambda x: x["h"]), "")
-    return names.groupBy("table_id").agg(F.concat(F.lit("<tr>"), joined, F.lit("</tr>")).alias("html"))
-
-
 def best_container(parts: DataFrame, wholes: DataFrame, least: float = MATCH) -> DataFrame:
     """Return (part_id, whole_id, overlap): for each token set the one that holds most of it.
 
@@ -62,21 +54,6 @@ def best_container(parts: DataFrame, wholes: DataFrame, least: float = MATCH) ->
     return scored.withColumn("k", F.row_number().over(order)).where((F.col("k") == 1) & (F.col("overlap") >= least)).select("part_id", "whole_id", "overlap")
 
 
-def attach_rest(rest: DataFrame, anchors: DataFrame) -> DataFrame:
-    """Return (part_id, whole_id) for unmatched tables that go on beside a matched one.
-
-    ``rest`` is (part_id, page, x0, y0, x1, y1, cols, tokens) and ``anchors`` the
-    best match of each whole, the same with whole_id and whole_tokens.  Edges agree
-    within 5, the gap is at most 40, the columns are as many and at least a quarter
-    of the tokens are common; the smallest whole_id takes a table.
-    """
-    a = anchors.select("page", "whole_id", "cols", F.col("x0").alias("ax0"), F.col("x1").alias("ax1"), F.col("y0").alias("ay0"), F.col("y1").alias("ay1"), "whole_tokens")
-    near = (F.abs(F.col("x0") - F.col("ax0")) <= EDGE) & (F.abs(F.col("x1") - F.col("ax1")) <= EDGE)
-    gap = F.greatest(F.col("y0") - F.col("ay1"), F.col("ay0") - F.col("y1"))
-    share = F.size(F.array_intersect("tokens", "whole_tokens")) / F.greatest(F.size("tokens"), F.lit(1))
-    return rest.join(a, ["page", "cols"]).where(near & (gap <= GAP) & (share >= ATTACH)).groupBy("part_id").agg(F.min("whole_id").alias("whole_id"))
-
-
 def adjacency_groups(items: DataFrame, keys: list[str], start: str, end: str, order: list[str], gap: float) -> DataFrame:
     """Add ``run``: the number of the run an item is in; a larger gap starts a new one."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -85,14 +62,6 @@ def adjacency_groups(items: DataFrame, keys: list[str], start: str, end: str, or
     return marked.withColumn("run", F.sum("_jump").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_jump")
 
 
-def joined_vertically(group: DataFrame) -> DataFrame:
-    """Return (whole_id, joined): whether a group's tables follow one another with equal columns."""
-    w = Window.partitionBy("whole_id").orderBy("y0", "part_id")
-    gap, cols = F.col("y0") - F.lag("y1").over(w), F.lag("cols").over(w)
-    ok = F.coalesce((gap <= GAP) & (cols == F.col("cols")), F.lit(True))
-    return group.withColumn("ok", ok).groupBy("whole_id").agg(F.bool_and("ok").alias("joined"))
-
-
 def intersects(a: str, b: str) -> Column:
     """Whether two rectangles, given by column prefixes, overlap in an area."""
     c = F.col
@@ -140,69 +109,7 @@ def topology(cells: DataFrame) -> DataFrame:
 
 
 def header_rows(spans: DataFrame, hint: int = 1) -> DataFrame:
-    """Return (table_id, header_rows): at least ``hint``, and so many that no header cell is cut."""
-    return spans.where(F.col("r") < hint).groupBy("table_id").agg(F.greatest(F.lit(hint), F.max(F.col("r") + F.col("rowspan"))).alias("header_rows"))
-
-
-def render_rows(grid: DataFrame) -> DataFrame:
-    """Return (table_id, html) of cells (table_id, r, c, rowspan, colspan, text, header)."""
-    tag = F.when(F.col("header"), "th").otherwise("td")
-    span = lambda n: F.when(F.col(n) > 1, F.concat(F.lit(f' {n}="'), F.col(n).cast("string"), F.lit('"'))).otherwise("")
-    text = F.replace(F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
-    cell = F.concat(F.lit("<"), tag, span("rowspan"), span("colspan"), F.lit(">"), text, F.lit("</"), tag, F.lit(">"))
-    listed = lambda order, value: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(value).alias("h")))), lambda x: x["h"]), "")
-    rows = grid.withColumn("h", cell).groupBy("table_id", "r").agg(F.concat(F.lit("<tr>"), listed("c", "h"), F.lit("</tr>")).alias("row"))
-    return rows.groupBy("table_id").agg(F.concat(F.lit("<table>"), listed("r", "row"), F.lit("</table>")).alias("html"))
-
-
-def unassigned_policy(matched: DataFrame, scanned: DataFrame, detected: DataFrame, action: int = 1) -> DataFrame:
-    """Choose tables (table_id, html): 1 matched and scanned, 2 scanned only, 3 detected ones for all."""
-    if action not in (1, 2, 3):
-        raise ValueError("action must be 1, 2 or 3")
-    if action == 2:
-        return scanned
-    if action == 3:
-        return detected
-    return matched.unionByName(scanned.join(matched.select("table_id"), "table_id", "left_anti"))
-
-
-def largest(tables: DataFrame) -> DataFrame:
-    """Of the tables (area_id, table_id, rows, cols) of each area, return the one with most places."""
-    return tables.groupBy("area_id").agg(F.max_by("table_id", F.struct(F.col("rows") * F.col("cols"), -F.col("table_id"))).alias("table_id"))
-
-
-def locate(anchors: DataFrame) -> DataFrame:
-    """Return (group_id, x0, y0, x1, y1) of the best header and footer on a page.
-
-    ``anchors`` is (group_id, kind, seq, x0, y0, x1, y1, rows) of places where a
-    table's header, footer or middle cells were found.  A header and a footer below
-    it are scored by the middle cells between them, 1000 each, less the difference
-    of the height from 20 for each row; ties go to the upper header, then footer.
-    The middle cells are not held to an order, alignment or height, and the box is not
-    snapped to drawn lines; the README lists what is not done.
-    """
-    head = anchors.where("kind = 'header'").select("group_id", "rows", F.struct("y0", "x0", "x1", "y1", "seq").alias("h"))
-    foot = anchors.where("kind = 'footer'").select("group_id", F.struct("y0", "x0", "x1", "y1", "seq").alias("f"))
-    mid = anchors.where("kind = 'middle'").select("group_id", "seq", F.col("y0").alias("my"), F.col("x0").alias("mx0"), F.col("x1").alias("mx1"))
-    ends = head.join(foot, "group_id").where(F.col("f.y0") >= F.col("h.y0"))
-    inside = ends.join(mid, "group_id", "left")
-    hit = (F.col("my") >= F.col("h.y0")) & (F.col("my") <= F.col("f.y1"))
-    scored = inside.groupBy("group_id", "rows", "h", "f").agg(F.count_distinct(F.when(hit, F.col("seq"))).alias("mids"), F.min(F.when(hit, F.col("mx0"))).alias("mx0"), F.max(F.when(hit, F.col("mx1"))).alias("mx1"))
-    height = F.col("f.y1") - F.col("h.y0")
-    scored = scored.withColumn("score", 1000 * F.col("mids") - F.abs(height - 20 * F.col("rows")))
-    order = Window.partitionBy("group_id").orderBy(F.col("score").desc(), "h.y0", "f.y0", "h.seq", "f.seq")
-    best = scored.withColumn("k", F.row_number().over(order)).where("k = 1")
-    return best.select("group_id", F.least("h.x0", "f.x0", "mx0").alias("x0"), F.col("h.y0").alias("y0"), F.greatest("h.x1", "f.x1", "mx1").alias("x1"), F.col("f.y1").alias("y1"))
-
-
-def gap_rows(words: DataFrame, gaps: DataFrame) -> DataFrame:
-    """Return (gap_id, text): the words within each gap between joined tables, by line and place."""
-    inside = words.join(gaps, "page").where((F.col("wx0") >= F.col("x0")) & (F.col("wx1") <= F.col("x1")) & (F.col("wy0") >= F.col("y0")) & (F.col("wy1") <= F.col("y1")))
-    return inside.groupBy("gap_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("wy0", "wx0", "word"))), lambda x: x["word"]), " ").alias("text"))
-
-
-def row_ratio_ok(detected_rows: Column, scanned_rows: Column) -> Column:
-    """Whether as many rows were detected as the scan suggests, within the fixed bounds."""
-    ratio = detected_rows / F.greatest(scanned_rows, F.lit(1))
-    return (ratio >= ROW_RATIO[0]) & (ratio <= ROW_RATIO[1])
-
+    """Return (table_id, header_rows): ``hint`` rows, more so that no header cell is cut, at most all rows."""
+    last = F.max(F.col("r") + F.col("rowspan"))
+    head = F.max(F.when(F.col("r") < hint, F.col("r") + F.col("rowspan")))
+    return spans.groupBy("table_id").agg(F.least(F.greatest(F.lit(hint), head), last).alias("header_rows"))

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as T
-from folioflow.operators import chat, chunk, enrich, evaluate, hybrid, layout, lexical, pages, providers, tables, toc, vector
+from folioflow.operators import chat, chunk, enrich, evaluate, hybrid, ingest, layout, lexical, pages, providers, search, tables, toc, vector
 from folioflow.plans import sql
 from folioflow.sources import files
 from folioflow.sources.scratch import spread
@@ -312,10 +312,60 @@ def layout_context(spark: SparkSession, d: str) -> DataFrame:
     return layout.prompt_context(state).select("doc_id", F.md5("context").alias("digest"))
 
 
+def _chunks(spark: SparkSession, d: str) -> DataFrame:
+    docs, e = _read(spark, d, "documents").where(F.col("text").isNotNull()), _read(spark, d, "embeddings")
+    return docs.join(e, F.col("doc_id") == F.col("vec_id")).select(
+        F.col("doc_id").alias("chunk_id"), F.array(F.col("doc_id").cast("int")).alias("logical_page"), F.col("doc_id").cast("int").alias("pdf_page"),
+        F.col("source").alias("chapter"), F.col("lang").alias("section"), F.lit("").alias("current_heading"), F.col("text").alias("content"), F.col("embedding").cast("array<double>").alias("embedding"),
+    )
+
+
+def _dot_vector(texts: list[str]) -> list[list[float]]:
+    """A query's vector, of the width of the embeddings, from its words."""
+    return providers.stub_embedding(texts, 64)
+
+
+def chat_answers(spark: SparkSession, d: str) -> DataFrame:
+    """Two turns of conversations whose questions are benchmark texts: rewritten, searched, answered."""
+    q = _read(spark, d, "benchmark").where("item_id < 20").select((F.col("item_id") % 10).alias("session_id"), F.col("item_id").alias("turn"), F.col("text").alias("question"))
+    got = search.converse(q, search.HybridSearch(_chunks(spark, d), _dot_vector), chat.stub_rewrite, providers.stub_answer)
+    return got.select("session_id", "turn", "answer", F.md5("search_query").alias("search_query"), F.md5("context").alias("context"), "sources")
+
+
+def eval_report(spark: SparkSession, d: str) -> DataFrame:
+    """Report of a search for every benchmark text, nested."""
+    docs, items = _read(spark, d, "documents").where(F.col("text").isNotNull()), _read(spark, d, "benchmark")
+    engine = search.HybridSearch(_chunks(spark, d), _dot_vector)
+    gold = engine.index.holding(items, docs, "item_id", "text", "doc_id", "text").groupBy("query_id").agg(F.array_sort(F.collect_list("id")).alias("gold"))
+    q = items.join(gold, F.col("item_id") == F.col("query_id"), "left").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"), F.lit("benchmark").alias("category"), F.lit(True).alias("answerable"), F.coalesce("gold", F.array().cast("array<bigint>")).alias("gold"), F.lit("").alias("gold_answer"))
+    return evaluate.report(q, engine.search(q.select("query_id", F.col("question").alias("query")), 20), "benchmark", 20)
+
+
+def ingest_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Logical pages of books made of conversations: a page for each, read by the offline provider, with a detected table a spread."""
+    c = _read(spark, d, "conversations").groupBy("conv_id").agg(F.max_by("text", "turn").alias("text"), F.count("*").alias("n"))
+    scans = c.select(F.lit(1).alias("doc_id"), (F.col("conv_id") + 1).cast("int").alias("pdf_page"), F.lit("").alias("left_header"), F.concat(F.lit("Part "), F.floor(F.col("conv_id") / 20).cast("string")).alias("right_header"), (F.col("n") > 1).alias("has_body"), (F.col("conv_id") % 2 == 0).alias("has_table"))
+    contents = c.where("conv_id % 20 = 5").select(F.lit(1).alias("doc_id"), F.col("conv_id").cast("int").alias("chapter_ord"), F.concat(F.lit("Chapter "), F.col("conv_id").cast("string")).alias("chapter"), (2 * F.col("conv_id") - 2).cast("int").alias("chapter_start"), F.lit(0).alias("section_ord"), F.lit("Section").alias("section"), (2 * F.col("conv_id")).cast("int").alias("start"))
+    got = ingest.ingest(scans, contents, providers.stub_page)
+    return got.select("doc_id", "pdf_page", "part", F.array_join(F.col("logical_page").cast("array<string>"), ",").alias("logical_page"), "chapter", "section", F.array_join("current_headings", ",").alias("current_headings"), F.md5("content").alias("digest"))
+
+
+def incremental_index(spark: SparkSession, d: str) -> DataFrame:
+    """Documents that a stream indexed as they arrived, each of them once."""
+    from folioflow.sources.scratch import written
+    from folioflow.streaming.index_stream import index_new
+
+    source = written(_read(spark, d, "documents").select("doc_id", "text"), "arrived")
+    base = source.inputFiles()[0].rsplit("/", 1)[0]
+    index_new(spark, base, "doc_id long, text string", base + "-index", base + "-checkpoint")
+    index_new(spark, base, "doc_id long, text string", base + "-index", base + "-checkpoint")
+    return spark.read.parquet(base + "-index").select("doc_id", F.md5("text").alias("digest"))
+
+
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
     tokenize_stats, bm25_topk, cosine_topk, minmax_scores, hybrid_topk, hybrid_filtered_topk, eval_details, recall_at_k, sentence_line_split, paragraph_pack, heading_blocks, heading_carry, heading_merge, chunk_document, layout_h3, layout_context,
     toc_ranges, toc_lookup, spread_mapping, heading_sanitize, abbrev_expand, abbrev_dictionary, containment_match, adjacency_groups, header_flatten, table_topology, rect_intersection, contextual_text, context_format, history_window, checkpoint_prefix,
-    markdown_change_flags, json_tolerant_parse, html_heading_text, embed_documents,
+    markdown_change_flags, json_tolerant_parse, html_heading_text, embed_documents, chat_answers, eval_report, ingest_pages, incremental_index,
 )
 
 

@@ -55,6 +55,22 @@ SELECT doc_id, seq::BIGINT AS seq, length(held)::BIGINT AS n, md5(held) AS diges
 FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, seq ORDER BY i DESC) AS k FROM s) WHERE k = 1""".replace("{room}", str(room))
 
 
+def _header_flatten(header: tuple) -> str:
+    """Cells placed one after another by recursion; each takes the first column that no cell above or before covers."""
+    cells = ", ".join("(" + ", ".join(str(v) if isinstance(v, int) else "'" + v.replace("'", "''") + "'" for v in row) + ")" for row in header)
+    return f"""WITH RECURSIVE v(table_id, r, cell_seq, rowspan, colspan, t) AS (VALUES {cells}),
+o AS (SELECT table_id, r, greatest(coalesce(try_cast(rowspan AS INT), 1), 1) AS h, greatest(coalesce(try_cast(colspan AS INT), 1), 1) AS w, trim(t) AS t, row_number() OVER (PARTITION BY table_id ORDER BY r, cell_seq) AS k FROM v),
+s AS (SELECT table_id, 0::BIGINT AS k, []::STRUCT(r INT, c INT, k BIGINT, t VARCHAR)[] AS grid, -1 AS row, 0 AS nxt FROM (SELECT DISTINCT table_id FROM o)
+  UNION ALL
+  SELECT table_id, k, list_concat(grid, list_transform(range(0, h * w), lambda i: {{'r': (r + i // w)::INT, 'c': (col + i % w)::INT, 'k': k, 't': t}})), r, col + w
+  FROM (SELECT s.table_id, o.k, s.grid, o.r, o.h, o.w, o.t, (list_filter(range(CASE WHEN s.row = o.r THEN s.nxt ELSE 0 END, 200), lambda q: len(list_filter(s.grid, lambda g: g.r = o.r AND g.c = q)) = 0))[1]::INT AS col
+    FROM s JOIN o ON o.table_id = s.table_id AND o.k = s.k + 1)),
+g AS (SELECT table_id, unnest(grid) AS x FROM s JOIN (SELECT table_id AS tid, max(k) AS m FROM o GROUP BY table_id) ON tid = table_id AND m = s.k),
+top AS (SELECT table_id, x.r AS r, x.c AS c, arg_max(x.t, x.k) AS t FROM g GROUP BY ALL),
+d AS (SELECT *, lag(t) OVER (PARTITION BY table_id, c ORDER BY r) AS above FROM top WHERE t <> '')
+SELECT p.table_id, p.c, coalesce(string_agg(d.t, ' - ' ORDER BY d.r) FILTER (d.above IS NULL OR d.above <> d.t), '') AS name FROM (SELECT DISTINCT table_id, c FROM top) p LEFT JOIN d USING (table_id, c) GROUP BY p.table_id, p.c"""
+
+
 def statements(abbreviations: tuple, glossary: tuple, header: tuple, room: int) -> dict[str, str]:
     """Name to SQL."""
     lines = "SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i, x FROM (SELECT doc_id, unnest(range(1, len(l) + 1)) AS k, unnest(l) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS l FROM documents)) y WHERE x <> ''"
@@ -122,7 +138,7 @@ SELECT user_id, run::BIGINT AS run, count(*) AS n, min(event_id) AS first_event,
         "rect_intersection": """SELECT a.l_orderkey, count(*) AS n_pairs FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber < b.l_linenumber
 AND a.l_linenumber * 10.0::DOUBLE < b.l_linenumber * 10.0::DOUBLE + b.l_quantity AND b.l_linenumber * 10.0::DOUBLE < a.l_linenumber * 10.0::DOUBLE + a.l_quantity
 AND a.l_discount * 100 < b.l_discount * 100 + 2 AND b.l_discount * 100 < a.l_discount * 100 + 2 GROUP BY a.l_orderkey""",
-        "header_flatten": """SELECT * FROM (VALUES (1, 0, 'Item'), (1, 1, '2024 - Bank'), (1, 2, '2024 - Group'), (1, 3, '2025 - Bank'), (1, 4, '2025 - Group'), (2, 0, 'A'), (2, 1, 'B - C')) AS t(table_id, c, name)""",
+        "header_flatten": _header_flatten(header),
         "contextual_text": "SELECT doc_id, md5('Chương: ' || coalesce(source, '') || ' | Mục: ' || coalesce(lang, '') || ' | Tiêu đề: ' || chr(10) || chr(10) || coalesce(text, '')) AS digest FROM documents",
         "context_format": """SELECT conv_id, md5(chr(10) || chr(10) || repeat('=', 50) || chr(10) || chr(10) || string_agg('[Trang ' || conv_id || ', ' || turn || ' | Chương: ' || role || ' | Tiêu đề: h]' || chr(10) || regexp_replace(coalesce(text, ''), '^\\s+|\\s+$', '', 'g'), chr(10) || chr(10) || repeat('-', 40) || chr(10) || chr(10) ORDER BY turn) || chr(10) || chr(10) || repeat('=', 50) || chr(10) || chr(10)) AS digest FROM conversations GROUP BY conv_id""",
         "history_window": """SELECT conv_id, turn, md5(coalesce(array_to_string(list_transform(list_filter(range(1, 5), lambda k: l[5 - k] IS NOT NULL), lambda k: l[5 - k]), chr(10)), '')) AS digest FROM (
@@ -130,5 +146,6 @@ SELECT conv_id, turn, [lag(s, 1) OVER w, lag(s, 2) OVER w, lag(s, 3) OVER w, lag
         "checkpoint_prefix": "WITH j AS (SELECT doc_id, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id), s AS (SELECT min(doc_id) AS stop FROM j WHERE embedding IS NULL) SELECT doc_id FROM j, s WHERE stop IS NULL OR doc_id < stop",
         "markdown_change_flags": """SELECT doc_id, k = 1 OR a AS new_chapter, k = 1 OR a OR b AS new_section FROM (SELECT doc_id, row_number() OVER w AS k, lang IS DISTINCT FROM lag(lang) OVER w AS a, substr(text, 1, 1) IS DISTINCT FROM lag(substr(text, 1, 1)) OVER w AS b FROM documents WINDOW w AS (PARTITION BY source ORDER BY doc_id))""",
         "json_tolerant_parse": "SELECT event_id, json_extract(props, '$.k')::BIGINT AS k FROM events",
+        "incremental_index": "SELECT doc_id, md5(text) AS digest FROM documents",
         "html_heading_text": "SELECT page_id, length(h)::BIGINT AS n, md5(h) AS digest FROM (SELECT page_id, regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS h FROM pages)",
     }

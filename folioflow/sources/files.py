@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from folioflow.functions.text import strip
+
 PAGE = "logical_page array<int>, pdf_page int, chapter string, section string, current_headings array<string>, content string"
 CHUNK = "logical_page array<int>, pdf_page int, chapter string, section string, current_heading string, content string"
 INDEXED = CHUNK + ", embedding array<float>"
@@ -42,8 +44,17 @@ def read_contents(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_json(df: DataFrame, path: str) -> None:
-    """Overwrite ``path`` with JSON rows."""
-    df.write.mode("overwrite").json(path)
+    """Overwrite ``path`` with JSON rows, one a line, nulls kept; read_json_array() reads arrays only."""
+    df.write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def write_json_array(df: DataFrame, path: str, order: list[str]) -> None:
+    """Overwrite ``path`` with one file that holds a JSON array of all rows, for tools that read whole files.
+
+    The array is made in one place, so this is for reports and small exports.
+    """
+    rows = F.transform(F.array_sort(F.collect_list(F.struct(F.struct(*order).alias("k"), F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j")))), lambda x: x["j"])
+    df.agg(F.concat(F.lit("[\n"), F.array_join(rows, ",\n"), F.lit("\n]")).alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_index(chunks: DataFrame, path: str) -> None:
@@ -62,17 +73,39 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def is_there(spark: SparkSession, path: str) -> bool:
+    """Whether a path exists, in any store that Spark reads."""
+    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
+
+
 def is_current(spark: SparkSession, path: str, expected: int, force: bool = False) -> bool:
     """Whether a written index can be used again: it is there, and has as many rows."""
-    hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there = hpath.getFileSystem(spark._jsc.hadoopConfiguration()).exists(hpath)
-    return not force and there and spark.read.parquet(path).count() == expected
+    return not force and is_there(spark, path) and spark.read.parquet(path).count() == expected
+
+
+#: What stands for a page without text, and the lines of a report's head.
+NO_TEXT = "*[Không có nội dung văn bản]*"
+REPORT_HEAD = ("# {stem}", "", "- **Nguồn file:** `{name}`", "- **Thời gian xử lý:** {time}", "- **Phạm vi trang PDF gốc:** {first} -> {last} (Tổng: {total} trang)", "- **Model OCR (từ .env):** `{model}`", "", "---", "")
 
 
 def markdown(pages: DataFrame) -> DataFrame:
     """Return (doc_id, page_seq, markdown) of pages with change flags: headings only where they change."""
-    parts = F.concat_ws("\n\n", F.when(F.col("new_chapter"), F.concat(F.lit("# "), "chapter")), F.when(F.col("new_section"), F.concat(F.lit("## "), "section")), F.concat(F.lit("<!-- page "), F.array_join(F.col("logical_page").cast("array<string>"), ", "), F.lit(" -->")), F.col("content"), F.lit("---"))
-    return pages.select("doc_id", "page_seq", parts.alias("markdown"))
+    numbers = F.array_join(F.col("logical_page").cast("array<string>"), ", ")
+    place = F.concat(F.lit("<!-- Trang logic "), numbers, F.lit(" (PDF Trang "), F.col("pdf_page").cast("string"), F.lit(") -->"))
+    text = F.coalesce(F.expr("nullif(content, '')"), F.lit(NO_TEXT))
+    parts = F.concat_ws("\n\n", F.when(F.col("new_chapter"), F.concat(F.lit("# "), "chapter")), F.when(F.col("new_section"), F.concat(F.lit("## "), "section")), place, text, F.lit("---"))
+    return pages.select("doc_id", "page_seq", F.concat(parts, F.lit("\n")).alias("markdown"))
+
+
+def write_markdown(pages: DataFrame, path: str, head: dict[str, str | int]) -> None:
+    """Overwrite ``path`` with a report: its head, then all pages in order, in as many files as it takes.
+
+    Files are in the order of their names, and rows within them.
+    """
+    lines = pages.sparkSession.createDataFrame([("", -1, "\n".join(REPORT_HEAD).format(**head))], "doc_id string, page_seq long, markdown string")
+    body = markdown(pages).select(F.col("doc_id").cast("string").alias("doc_id"), F.col("page_seq").cast("long").alias("page_seq"), "markdown")
+    lines.unionByName(body).orderBy("doc_id", "page_seq").select("markdown").write.mode("overwrite").text(path)
 
 
 def completed_prefix(rows: DataFrame, order: str = "chunk_id", vector: str = "embedding") -> DataFrame:
@@ -88,7 +121,7 @@ def run_stats(pages: DataFrame, chunks: DataFrame, path: str) -> DataFrame:
 
 def snippet(content, lines: int = 6):
     """The first lines of a text, with a mark if there are more."""
-    parts = F.split(content, "\n")
+    parts = F.split(strip(content), "\n")
     return F.concat(F.array_join(F.slice(parts, 1, lines), "\n"), F.when(F.size(parts) > lines, "\n...").otherwise(""))
 
 

@@ -17,9 +17,3 @@ def index_new(spark: SparkSession, source: str, schema: str, target: str, checkp
     query = embed(rows, text_col, provider).writeStream.format("parquet").option("path", target).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
 
-
-def sessions(turns: DataFrame) -> DataFrame:
-    """Running counts of turns for each session of a streaming table (session_id, ts)."""
-    from pyspark.sql import functions as F
-
-    return turns.withWatermark("ts", "10 minutes").groupBy("session_id", F.window("ts", "1 hour")).agg(F.count("*").alias("turns"))
