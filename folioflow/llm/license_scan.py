@@ -37,11 +37,14 @@ from folioflow.llm.shared import materialize
 TEMPLATES = {
     "apache-2.0": ["Licensed under the Apache License, Version 2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License", "SPDX-License-Identifier: Apache-2.0", "This project is released under the Apache License 2.0"],
     "mit": ["Released under the MIT License", "Licensed under the MIT License", "SPDX-License-Identifier: MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"],
-    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version"],
-    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation"],
+    "gpl-3.0": ["This work is licensed under the GNU General Public License, version 3", "Licensed under the GNU General Public License v3.0", "SPDX-License-Identifier: GPL-3.0-only", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version", "Released under the GPLv3", "Licensed under the GNU GPL v3"],
+    "gpl-2.0": ["This work is licensed under the GNU General Public License, version 2", "SPDX-License-Identifier: GPL-2.0-only", "it under the terms of the GNU General Public License version 2 as published by the Free Software Foundation", "it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 2 of the License, or (at your option) any later version", "Released under the GPLv2", "Licensed under the GNU GPL v2"],
     "lgpl": ["Licensed under the GNU Lesser General Public License, version 2.1", "SPDX-License-Identifier: LGPL-3.0-or-later", "under the terms of the GNU Lesser General Public License"],
     "agpl-3.0": ["Licensed under the GNU Affero General Public License, version 3", "SPDX-License-Identifier: AGPL-3.0-only"],
-    "bsd": ["Released under the BSD 3-Clause License", "Licensed under the BSD License", "SPDX-License-Identifier: BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "bsd": ["Released under the BSD 3-Clause License", "Licensed under the BSD License", "Distributed under the terms of the Modified BSD License", "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"],
+    "isc": ["Licensed under the ISC License", "SPDX-License-Identifier: ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"],
+    "epl-2.0": ["This program is made available under the terms of the Eclipse Public License 2.0", "SPDX-License-Identifier: EPL-2.0"],
+    "unlicense": ["This is free and unencumbered software released into the public domain", "SPDX-License-Identifier: Unlicense"],
     "mpl-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0", "SPDX-License-Identifier: MPL-2.0"],
     "cc-by-4.0": ["Licensed under CC BY 4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License"],
     "cc-by-sa-4.0": ["Licensed under CC BY-SA 4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"],
@@ -57,7 +60,7 @@ OTHER = [
     "the gnu is a large antelope", "terms of the agreement were not published", "under the terms of the treaty", "she studied the source of the river", "use of the hall is free of charge", "license fees rose", "which license should I choose for my project",
 ]
 #: Parts of words of which one must be in an n-gram that counts.
-STEMS = ("licen", "copyright", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "creative", "attribution", "noncommercial", "sharealike", "cc0", "cc", "spdx", "redistribut", "warrant", "permission", "reserved", "domain")
+STEMS = ("licen", "copyright", "eclipse", "unencumbered", "apache", "gnu", "gpl", "bsd", "mozilla", "mpl", "creative", "attribution", "noncommercial", "sharealike", "cc0", "cc", "spdx", "redistribut", "warrant", "permission", "reserved", "domain")
 UNKNOWN = "unknown"
 FEATURES = 1 << 12
 BACKGROUND_LINES = 2000

@@ -11,7 +11,7 @@ What is no piece in the end falls back to bytes, or to the unknown id.  Short
 segments of one length share an agenda held in a matrix: in each round the top
 entry of every segment is merged.  Long segments have a heap each.
 
-Segments repeat, so a bounded memo of the recent ones is kept for each worker;
+Segments repeat, so a bounded memo of the recent ones is kept for each task;
 each new segment is also encoded by the sentencepiece library in batches, and a
 difference raises an error.
 
@@ -35,11 +35,11 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import small_batches
+from folioflow.llm.shared import give_back, small_batches
 
 MARK = "▁"
-#: Bytes of the segments that a worker remembers, about: between this number and twice as many.
-MEMO_BYTES, ENTRY_BYTES = 48 << 20, 230
+#: Bytes of the segments that a task remembers, about: between this number and twice as many.
+MEMO_BYTES, ENTRY_BYTES = 32 << 20, 230
 #: Characters beyond which a segment gets a heap of its own.
 LONG_SEGMENT = 40
 #: Segments that share an agenda, so that its arrays stay in the processor's cache.
@@ -47,7 +47,7 @@ SEGMENTS_PER_AGENDA = 2048
 #: Segments of a text, the finest first: a mark with the run of Latin letters, or of others, behind it; a mark with
 #: all up to the next; the whole text.  The first that parts no piece of a vocabulary holds for it.
 #: Text that is encoded at once.
-STEP_BYTES = 3 << 20
+STEP_BYTES = 1 << 20
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\u02af"
 CUTS = (f"{MARK}+(?:[{_LATIN}]+|[^{_LATIN}{MARK}]+)?|[{_LATIN}]+|[^{_LATIN}{MARK}]+", f"{MARK}+[^{MARK}]*|[^{MARK}]+", r"(?s:.+)")
 _NONE = np.int32(1 << 30)
@@ -236,6 +236,10 @@ class Agenda:
             if normal == MARK + text.replace(" ", MARK) and _packed(ids) != before + memo[s]:
                 raise ValueError(f"the library encodes {text!r} as {ids}, the agenda as {np.frombuffer(before + memo[s], _ID).tolist()}")
 
+    def forget(self) -> None:
+        """Drop the memo."""
+        self._memo, self._older, self._held = {}, {}, 0
+
     def _probe(self, character: str) -> bytes:
         if character not in self._probes:
             self._probes[character] = _packed(self.merge(MARK + character))
@@ -302,6 +306,8 @@ def encode_rows(docs: DataFrame, model: str, text_col: str, columns: dict[str, T
                 part = batch.slice(at, end - at)
                 got = build(agenda, agenda.encode(t or "" for t in part.column(text_col).to_pylist()))
                 yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), *(got[k] for k in columns)], names=[*names, *columns])
+        agenda.forget()
+        give_back()
 
     return docs.select(*(_quoted(n) for n in read)).mapInArrow(run, schema)
 

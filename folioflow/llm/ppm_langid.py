@@ -14,9 +14,12 @@ so that a text is scored by table look-up over whole arrays; other strings take
 the escape path, which is also tabulated, so code lengths are exact.
 
 The sample: at most ``PER_LANGUAGE`` documents a language, those with the smallest
-hash of their id among texts of at most ``SAMPLE_CHARS`` characters.  Where there are
-fewer of these, the first ``SAMPLE_CHARS`` characters of longer texts fill the sample
-up, so that every labelled language is learned; the driver holds no more.  Rows without a language or an id teach nothing.
+hash of their id, one text each, among texts of at most ``SAMPLE_CHARS`` characters.
+Where there are fewer of these, the first ``SAMPLE_CHARS`` characters of longer texts
+fill the sample up, so that every labelled language is learned.  Of many languages each
+text teaches less, so that the driver holds ``TOTAL_CHARS`` at most, and languages are
+tabulated ``GROUP`` at a time: their trees are independent, so their number is not
+bounded.  Rows without a language or an id teach nothing.
 
 Defined edge cases: a null text, or one without a letter, is ``und`` with score
 0; without any training row every text is; ties go to the first language by
@@ -38,7 +41,8 @@ from folioflow.llm.textvec import slices
 
 PER_LANGUAGE = 300
 SAMPLE_CHARS = 20_000
-MAX_LANGUAGES = 400
+#: Characters of all samples together, least characters of a text, languages of a table.
+TOTAL_CHARS, LEAST_CHARS, GROUP = 32_000_000, 100, 16
 ORDER = 3
 #: Bytes with a place in the direct index; strings with other bytes are searched for.
 COMMON = 48
@@ -62,10 +66,27 @@ def _grams(texts: list[bytes]) -> np.ndarray:
 
 
 class Model:
-    """Frozen statistics of all languages, as tables of costs in nats."""
+    """Frozen statistics of all languages, in tables of some languages each."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         self.languages = sorted(samples)
+        groups = [self.languages[i : i + GROUP] for i in range(0, len(self.languages), GROUP)]
+        self.parts = [Tables({name: samples[name] for name in g}, direct=len(groups) == 1) for g in groups]
+
+    def costs(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Return code lengths in nats, texts x languages; ``data`` is all texts' bytes."""
+        return np.concatenate([p.costs(data, offsets) for p in self.parts], axis=1) if self.parts else np.zeros((len(offsets) - 1, 0))
+
+
+class Tables:
+    """Frozen statistics of some languages, as tables of costs in nats.
+
+    ``direct`` asks for an index of strings of common bytes, which takes 20 MB; other
+    strings, or all without it, are searched for.
+    """
+
+    def __init__(self, samples: dict[str, list[bytes]], direct: bool = True):
+        self.languages, self.direct = sorted(samples), direct
         n = len(self.languages)
         grams = [_grams(samples[name]) for name in self.languages]
         self.uniform = np.log(256.0)
@@ -154,7 +175,7 @@ class Model:
         rare = place == COMMON
         rare = rare[:-3] | rare[1:-2] | rare[2:-1] | rare[3:]
         at[rare] = 0
-        row = self._index()[at]
+        row = self._index()[at] if self.direct else np.full(len(at), -1, np.int32)
         row[rare] = -1
         lost = np.flatnonzero(row < 0)
         cost = self.cost3[row] if len(self.cost3) else np.zeros((len(row), n), np.float32)
@@ -181,16 +202,17 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     """Learn the trees from rows that are not held out; see the module's description."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("text", F.substring("text", 1, SAMPLE_CHARS))
+    languages = rows.agg(F.count_distinct("lang")).first()[0]
+    chars = min(SAMPLE_CHARS, max(LEAST_CHARS, TOTAL_CHARS // max(1, languages * per_language)))
+    rows = rows.withColumn("long", F.length("text") > SAMPLE_CHARS).withColumn("text", F.substring("text", 1, chars))
     order = Window.partitionBy("lang").orderBy("long", F.xxhash64("doc_id"), "doc_id")
     chosen = rows.select("doc_id", "lang", "long").withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("doc_id", "lang", "long", "n")
     picked = chosen.collect()  # at most per_language rows a language
-    if len({r["lang"] for r in picked}) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     if not picked:
         return Model({})
     ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["lang"], r["long"]) for r in picked], "doc_id long, lang string, long boolean").distinct()
-    texts = rows.join(F.broadcast(ids), ["doc_id", "lang", "long"]).dropDuplicates(["doc_id", "lang", "text"]).collect()
+    # One text for each id, whichever comes first; texts reach the driver only after that.
+    texts = rows.join(F.broadcast(ids), ["doc_id", "lang", "long"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text")).collect()
     samples: dict[str, list[bytes]] = {}
     for r in sorted(texts, key=lambda r: (r["lang"], r["doc_id"], r["text"])):
         samples.setdefault(r["lang"], []).append(r["text"].encode())

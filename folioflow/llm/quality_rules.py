@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import discard, materialize, small_batches
+from folioflow.llm.shared import discard, give_back, materialize, small_batches
 from folioflow.llm.textvec import Texts, slices, windows
 
 MIN_WORDS = 20
@@ -119,6 +119,7 @@ def with_features(docs: DataFrame, text_col: str, prefix: str) -> DataFrame:
             for i, j, texts in slices(batch.column(text_col)):
                 got = measure(texts)
                 yield pa.RecordBatch.from_arrays([*batch.slice(i, j - i).columns, *(pa.array(got[n].astype(np.int64)) for n in FEATURES)], names=[*batch.schema.names, *(prefix + n for n in FEATURES)])
+        give_back()
 
     return docs.mapInArrow(run, schema)
 

@@ -28,7 +28,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import materialize, new_path, small_batches
+from folioflow.llm.shared import give_back, materialize, new_path, small_batches
+from folioflow.llm.sketch_join import TextFilter
 
 
 @dataclass(frozen=True)
@@ -111,6 +112,7 @@ def scan_unseen(texts: DataFrame, known: DataFrame | None, rules: tuple[Rule, ..
         for batch in batches:
             found = [[{"kind": k, "start": s, "end": e} for k, s, e in scanner.scan(t.as_py() or "")] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("blob"), pa.array([version] * len(found)), pa.array(found, kind)], names=["blob", "rules", "findings"])
+        give_back()
 
     schema = T.StructType([T.StructField("blob", T.BinaryType()), T.StructField("rules", T.StringType()), T.StructField("findings", FINDINGS)])
     return once.mapInArrow(run, schema)
@@ -154,21 +156,24 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rules: tuple[Rule, ...] = RULES, ledger: str | None = None) -> DataFrame:
-    """Return ``docs`` with every finding replaced by ``mark``; other columns stay.
+    """Return ``docs`` with every finding replaced by ``mark``; other columns stay, whatever their names.
 
-    Each distinct text is scanned once through the ledger; only the blobs with
-    findings are looked up again, so texts without any are not shuffled with them.
+    Each distinct text is scanned once through the ledger.  A filter of the blobs with
+    findings, of a bounded size, tells most other texts, which are not shuffled again;
+    the rest is looked up exactly.  Null texts stay null, repeated rows are kept.
     """
     spark = docs.sparkSession
     path = ledger or new_path(spark, "ledger")
     scan_history(docs.select(F.col(text_col).alias("text")), path, [], "text", rules)
     known = spark.read.parquet(path).where(F.col("rules") == rule_version(rules)).where(F.size("findings") > 0)
+    mark_ = "_scan"
+    while any(c.lower().startswith(mark_) for c in docs.columns):
+        mark_ = "_" + mark_
+    name, spans_col = mark_ + "_blob", mark_ + "_spans"
     known = materialize(known.groupBy("blob").agg(F.first("findings").alias("findings")), "findings")
-    name = "_blob"
-    while name in docs.columns:
-        name = "_" + name
+    held = TextFilter(known.select(F.xxhash64("blob").alias("h")), known.count())
     # Code points are cut out piece by piece: the text between findings, then the mark.
-    spans = F.transform("findings", lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b")))
+    spans = F.transform(spans_col, lambda x: F.struct(x["start"].alias("a"), x["end"].alias("b")))
     start = F.struct(F.lit("").alias("out"), F.lit(0).cast("long").alias("at"))
     text = F.col(text_col)
     folded = F.aggregate(
@@ -180,5 +185,7 @@ def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]", rule
         lambda acc: F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), F.lit(2**31 - 1))),
     )
     rows = docs.withColumn(name, F.unhex(F.sha2(F.coalesce(F.col(text_col).cast("string"), F.lit("")), 256)))
-    marked = rows.join(known.withColumnRenamed("blob", name), name, "left")
-    return marked.select(*[F.when(F.col("findings").isNull(), text).otherwise(folded).alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    maybe = held.maybe(F.xxhash64(name))
+    clean = rows.where(~maybe).select(*docs.columns)
+    marked = rows.where(maybe).join(known.select(F.col("blob").alias(mark_ + "_own"), F.col("findings").alias(spans_col)), F.col(name) == F.col(mark_ + "_own"), "left")
+    return clean.union(marked.select(*[F.when(F.col(spans_col).isNull(), text).otherwise(folded).alias(c) if c == text_col else F.col(c) for c in docs.columns]))

@@ -8,8 +8,12 @@ session's rows of an Arrow batch.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -41,6 +45,13 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(_BATCH_KEY, BATCH_ROWS)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the machine at the end of a task, as workers are kept for later ones."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # where the C library has no such call
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession
@@ -51,9 +62,22 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return written
 
 
+def keep(df: DataFrame) -> DataFrame:
+    """Keep a table that is read a few times on the executors' disks; what a lost one held is worked out again.
+
+    It cuts no lineage, and plans over kept tables hold theirs, so what loops hand on is
+    written by materialize().
+    """
+    kept = df.persist(StorageLevel.DISK_ONLY)
+    kept.count()
+    return kept
+
+
 def discard(*tables: DataFrame) -> None:
-    """Delete tables of materialize() that nothing reads any more."""
+    """Delete tables of materialize() and keep() that nothing reads any more."""
     for table in tables:
+        if table.storageLevel != StorageLevel.NONE:
+            table.unpersist()
         path = getattr(table, "_folioflow_path", None)
         if path:
             spark = table.sparkSession

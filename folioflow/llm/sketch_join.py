@@ -40,7 +40,7 @@ columns play no part.  Equality of shingles and of texts is that of 64-bit hashe
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +48,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm.components import connected_components
-from folioflow.llm.shared import discard, materialize, small_batches
+from folioflow.llm.shared import discard, give_back, keep, materialize, small_batches
 from folioflow.llm.textvec import U64, Texts, mix, slices, windows
 
 BAND_RATIO = 1.4
@@ -338,15 +338,24 @@ class TextFilter:
 
     def maybe(self, h: Column) -> Column:
         """Whether the filter may hold a hash; only the hashes go to Python."""
-        bits, last = self.bits, self.words - 1
+        test = self.test()
 
         @F.arrow_udf("boolean")
         def held(column: pa.Array) -> pa.Array:
+            return pa.array(test(column))
+
+        return held(h)
+
+    def test(self) -> Callable[[pa.Array], np.ndarray]:
+        """The same, for a function that runs on executors anyway."""
+        bits, last = self.bits, self.words - 1
+
+        def held(column: pa.Array) -> np.ndarray:
             u = column.to_numpy(zero_copy_only=False).view(U64)
             spots = [(bits.value[((u >> U64(13 + 21 * i)) & U64(last)).astype(np.intp)].view(U64) >> ((u >> U64(6 * i)) & U64(63))) & U64(1) for i in range(2)]
-            return pa.array((spots[0] & spots[1]).astype(bool))
+            return (spots[0] & spots[1]).astype(bool)
 
-        return held(h)
+        return held
 
 
 def _text_hash(text: Column) -> Column:
@@ -376,6 +385,7 @@ class ParitySketchJoin:
                         [batch.column("doc_id").slice(i, j - i), batch.column("h").slice(i, j - i), pa.array([set_id(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())],
                         names=["doc_id", "h", "cid", "n"],
                     )
+            give_back()
 
         return materialize(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"), "sets")
 
@@ -403,15 +413,17 @@ class ParitySketchJoin:
                             keys, cids, seen, held = [], [], set(), 0
             if keys:
                 yield _bucketed(keys, cids, buckets)
+            keys, cids = [], []
+            give_back()
 
         packed = self.docs.select("text").mapInArrow(emit, "bucket long, keys binary, cids binary")
-        found = materialize(packed.groupBy("bucket").applyInArrow(_shared_keys(buckets), "key long, band int, cid long"), "buckets")
+        found = keep(packed.groupBy("bucket").applyInArrow(_shared_keys(buckets), "key long, band int, cid long"))
         top = found.agg(F.max("band")).first()[0] or 0
         bands = Bands(num, den)
         need = F.element_at(F.array(*(F.lit(bands.common(i)) for i in range(top + 1))), F.col("band") + 1)
         strong = found.groupBy("cid", "band").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("cid", "band")
         # A copy of a known key's row may have come from several flushes.
-        left = materialize(found.join(strong, ["cid", "band"]).select("key", "cid").distinct(), "strong")
+        left = keep(found.join(strong, ["cid", "band"]).select("key", "cid").distinct())
         discard(found)
         # Written before the join, so that a key with many members can be split.
         keys = materialize(left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1"), "keys")
@@ -424,13 +436,14 @@ class ParitySketchJoin:
         width, num, den = self.width, self.num, self.den
         cids = shared.select("cid").distinct()
         # One text stands for each set.
-        texts = materialize(self.sets.where("n > 0").groupBy("cid").agg(F.min("h").alias("h")).join(cids, "cid", "left_semi"), "wanted")
-        wanted = TextFilter(texts.select("h"), texts.count())
+        texts = keep(self.sets.where("n > 0").groupBy("cid").agg(F.min("h").alias("h")).join(cids, "cid", "left_semi"))
+        wanted = TextFilter(texts.select("h"), texts.count()).test()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             seen: set[int] = set()
             for batch in batches:
-                for _, _, part in slices(batch.column("text"), fold_case=True):
+                # Tested here, as a filter before would take another worker for each task.
+                for _, _, part in slices(batch.column("text").filter(pa.array(wanted(batch.column("h")))), fold_case=True):
                     got = {}
                     for tokens in shingle_sets(part, width):
                         if len(tokens) and (cid := set_id(tokens)) not in seen:
@@ -441,9 +454,10 @@ class ParitySketchJoin:
                             [pa.array(list(got), pa.int64()), pa.array([len(t) for t in got.values()], pa.int64()), pa.array([t.view(np.int64) for t in got.values()], pa.list_(pa.int64())), pa.array([folded_sketch(t, sketch_bits(len(t), num, den)) for t in got.values()], pa.binary())],
                             names=["cid", "n", "tokens", "sketch"],
                         )
+            give_back()
 
         rows = self.docs.select("text", _text_hash(F.col("text")).alias("h"))
-        rows = rows.where(wanted.maybe(F.col("h"))).select("text").mapInArrow(run, "cid long, n long, tokens array<long>, sketch binary")
+        rows = rows.mapInArrow(run, "cid long, n long, tokens array<long>, sketch binary")
         rows = rows.join(cids, "cid", "left_semi").groupBy("cid").agg(*(F.first(c).alias(c) for c in ("n", "tokens", "sketch")))
         members = materialize(rows, "members")
         discard(texts)
@@ -461,11 +475,11 @@ class ParitySketchJoin:
             return pa.array(distances(sa, sb) * (den + num) <= (den - num) * (na.to_numpy() + nb.to_numpy()))
 
         size = den * F.least("na", "nb") >= num * F.greatest("na", "nb")
-        near = materialize(near.where(size).where(allowed("na", "nb", "sa", "sb")).select("a", "b", "na", "nb"), "near")
+        near = keep(near.where(size).where(allowed("na", "nb", "sa", "sb")).select("a", "b", "na", "nb"))
         tokens = lambda own, name: self.members.select(F.col("cid").alias(own), F.col("tokens").alias(name))
         both = near.join(tokens("a", "ta"), "a").join(tokens("b", "tb"), "b")
         common = F.size(F.array_intersect("ta", "tb"))
-        links = materialize(both.where(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b"), "links")
+        links = keep(both.where(den * common >= num * (F.col("na") + F.col("nb") - common)).select("a", "b"))
         discard(near)
         return links
 
@@ -501,20 +515,19 @@ class ParitySketchJoin:
     @staticmethod
     def _small_pairs(shared: DataFrame, labels: DataFrame) -> DataFrame:
         """Pairs (a, b) of different components in buckets of a bounded size."""
-        own = materialize(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")), "own")
+        own = keep(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
         left = own.select("key", F.col("cid").alias("a"), F.col("label").alias("la"))
         right = own.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
         return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
 
     def _open_pairs(self, shared: DataFrame, labels: DataFrame, closest: bool) -> DataFrame:
         """Untried pairs (a, b) of different components that share a key."""
-        own = materialize(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")), "own")
+        own = keep(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
         mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        mixed = materialize(mixed, "mixed")
-        left = materialize(own.join(mixed, "key", "left_semi"), "open")
+        left = keep(own.join(mixed, "key", "left_semi"))
         counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
         stats = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
-        stats = materialize(stats, "stats")
+        stats = materialize(stats, "stats")  # written before the join, so that a key with many members can be split
         x = left.join(stats, "key").withColumn("outside", F.col("label") != F.col("main"))
         blocks = lambda n: F.ceil(n / ROWS_PER_BLOCK).cast("int")
         majors, minors = blocks(F.col("m")), blocks(F.col("m") - F.col("top"))
@@ -529,8 +542,8 @@ class ParitySketchJoin:
         groups = max(int(size), math.ceil(total / ROWS_PER_GROUP))
         rows = rows.join(self.members.select("cid", "n", "sketch"), "cid").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
         pairs = rows.groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
-        found = materialize(pairs, "found")
-        discard(own, mixed, left, stats)
+        found = keep(pairs)
+        discard(own, left, stats)
         return found
 
     @staticmethod
@@ -538,7 +551,7 @@ class ParitySketchJoin:
         """Bring labels up to date with new links: components of the labels that they join."""
         known = lambda name: labels.select(F.col("cid").alias(name), F.col("label").alias("label_" + name))
         edges = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
-        joined = materialize(connected_components(edges).withColumnRenamed("label", "new"), "joined")
+        joined = keep(connected_components(edges).withColumnRenamed("label", "new"))
         moved = labels.join(joined, labels["label"] == joined["node"], "left").select("cid", F.coalesce("new", "label").alias("label"))
         fresh = joined.select(F.col("node").alias("cid"), F.col("new").alias("label")).join(labels.select("cid"), "cid", "left_anti")
         return materialize(moved.union(fresh).distinct(), "labels")
@@ -568,13 +581,13 @@ class ParitySketchJoin:
         inside = known.join(groups, "label", "left_semi")
         best = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("best")
         first = inside.groupBy("label").agg(best).select("best.h", "best.doc_id", F.lit(True).alias("once"))
-        texts = materialize(inside.select("h").distinct(), "grouped")
+        texts = keep(inside.select("h").distinct())
         grouped = TextFilter(texts, texts.count())
         # Rows that stand alone, but that the filter does not tell from grouped ones.
         alone = self.sets.where(grouped.maybe(F.col("h"))).join(texts, "h", "left_anti").select("h", "doc_id", F.lit(False).alias("once")).distinct()
         key = lambda h, i: F.xxhash64(h, i)
-        keep = materialize(first.union(alone).withColumn("k", key("h", "doc_id")), "keep")
-        stays = TextFilter(keep.select(F.col("k").alias("h")), keep.count())
+        staying = materialize(first.union(alone).withColumn("k", key("h", "doc_id")), "staying")
+        stays = TextFilter(staying.select(F.col("k").alias("h")), staying.count())
         names = docs.columns
         mark = "_set"
         while any(c.lower().startswith(mark) for c in names):
@@ -583,7 +596,7 @@ class ParitySketchJoin:
         rows = docs.withColumn(h, _text_hash(F.col(text_col).cast("string"))).withColumn(k, key(h, F.col(id_col).cast("long")))
         maybe = grouped.maybe(F.col(h))
         sure = rows.where(~maybe).select(*names)
-        own = keep.select(F.col("k").alias(mark + "_own"), F.col("h").alias(mark + "_text"), F.col("doc_id").alias(mark + "_id"), F.col("once").alias(one))
+        own = staying.select(F.col("k").alias(mark + "_own"), F.col("h").alias(mark + "_text"), F.col("doc_id").alias(mark + "_id"), F.col("once").alias(one))
         same = (F.col(k) == F.col(mark + "_own")) & (F.col(h) == F.col(mark + "_text")) & F.col(id_col).cast("long").eqNullSafe(F.col(mark + "_id"))
         rest = rows.where(maybe & stays.maybe(F.col(k))).join(own, same)
         # Rows that stand alone are each a partition of their own.

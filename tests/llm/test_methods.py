@@ -70,7 +70,7 @@ def test_mix_comes_from_the_shards(spark):
             shard, words = map(int, part.split(":"))
             listed[shard] += words
         assert listed == by_shard[i] and x.taken == sum(listed.values())
-    assert len(whole) == 4 and max(whole.values()) < 1.2 * min(whole.values())
+    assert len(whole) == 4 and max(whole.values()) < 1.6 * min(whole.values())
     # Without a shard's run its blocks are not in the mix.
     mix.draws = mix.draws.where("shard <> 2")
     less = {x.doc_id: x.taken for x in mix.taken().collect()}
@@ -140,7 +140,7 @@ def test_cutoffs_equal_plain_version(spark):
     kept = sorted((str(i), not base and not any(bins[k] >= c for k, c in cut[band])) for i, base, band, bins in by_row)
     assert kept == sorted((str(x.doc_id), x.kept) for x in quality_rules.judge(docs, labels).collect())
     rejected = [q for i, base, band, bins in by_row if not base and (q := quality.get(i)) is not None and any(bins[k] >= c for k, c in cut[band])]
-    assert rejected.count(0) > 300 and rejected.count(1) <= 40
+    assert rejected.count(0) > 250 and rejected.count(1) <= 40
 
 
 def test_false_rejection_is_bounded():
