@@ -2,7 +2,7 @@ r"""License scan by a trained paragraph classifier.
 
 Paragraphs are the lines of a text, and its blocks of adjacent lines that are not
 blank, for notices that are wrapped.  Their words (letters, digits, dots within
-numbers; lower case) give the word 1-, 2- and 3-grams of a multinomial logistic
+numbers; lower case) give the word 1- to 4-grams of a multinomial logistic
 regression over licence families and ``unknown``; only n-grams with one of
 ``STEMS`` in a word count, so a paragraph without any is the zero vector and is
 unknown by construction, and such paragraphs are dropped before the classifier.
@@ -88,7 +88,7 @@ def _once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def _counted(df: DataFrame) -> DataFrame:
     """Add ``words`` and the n-grams that count, from ``line``."""
     df = _once(df, "words", words(F.col("line")))
-    return _once(df, "grams", F.filter(F.concat(*(_grams("words", n) for n in (1, 2, 3))), _stem))
+    return _once(df, "grams", F.filter(F.concat(*(_grams("words", n) for n in (1, 2, 3, 4))), _stem))
 
 
 def _stem(gram: Column) -> Column:
