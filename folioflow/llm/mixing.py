@@ -38,7 +38,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from folioflow.llm.shared import materialize
+from folioflow.llm.shared import keep, materialize
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Blocks of a source, at least, and for each shard.
@@ -140,7 +140,7 @@ class Mix:
         self.seed = seed
         rows = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), word_count(F.col(text_col)).alias("size"))
         #: One narrow row a document: the texts are read once for the plan.
-        self.documents = materialize(rows.withColumn("place", self._place(F.col("doc_id"), F.col("size"))), "sizes")
+        self.documents = keep(rows.withColumn("place", self._place(F.col("doc_id"), F.col("size"))))
         words = self.documents.agg(F.sum("size")).first()[0] or 0
         self.shards = shards or max(SHARDS, 1 << max(0, math.ceil(math.log2(max(1.0, words * share / WORDS_PER_SHARD)))))
         self.blocks = max(BLOCKS, BLOCKS_PER_SHARD * self.shards)

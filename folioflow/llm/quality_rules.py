@@ -39,7 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.shared import discard, give_back, materialize, small_batches
+from folioflow.llm.shared import discard, give_back, keep, materialize, small_batches
 from folioflow.llm.textvec import Texts, slices, windows
 
 MIN_WORDS = 20
@@ -307,7 +307,7 @@ def _prefix(docs: DataFrame) -> str:
 def judge(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: float) -> DataFrame:
     """Return doc_id, the counts, base_failed and kept for every row of ``docs``."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = materialize(with_features(rows, "text", "").drop("text"), "features")
+    features = keep(with_features(rows, "text", "").drop("text"))
     cutoffs = fit_cutoffs(features, labels, **options)
     return features.select("doc_id", *FEATURES, base_failed().alias("base_failed"), (~base_failed() & ~_rejects(cutoffs, "")).alias("kept"))
 
@@ -319,7 +319,6 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     so that no text is shuffled or written in between.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    features = materialize(with_features(rows, "text", "").drop("text"), "features")
-    cutoffs = fit_cutoffs(features, labels, **options)
+    cutoffs = fit_cutoffs(with_features(rows, "text", "").drop("text"), labels, **options)
     prefix = _prefix(docs)
     return with_features(docs, text_col, prefix).where(~base_failed(prefix) & ~_rejects(cutoffs, prefix)).select(*docs.columns)

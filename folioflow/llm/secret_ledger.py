@@ -136,7 +136,7 @@ def scan_history(versions: DataFrame, ledger: str, id_cols: list[str], text_col:
     small_batches(spark)
     rows = with_blob(versions.select(*id_cols, F.col(text_col).alias("text")), "text")
     fresh = scan_unseen(rows.select("blob", F.coalesce("text", F.lit("")).alias("text")), _ledger(spark, ledger), rules)
-    fresh.write.mode("append").parquet(ledger)
+    fresh.hint("rebalance").write.mode("append").parquet(ledger)  # findings are few, and so are files then
     known = spark.read.parquet(ledger).where(F.col("rules") == rule_version(rules)).where(F.size("findings") > 0)
     known = known.groupBy("blob").agg(F.first("findings").alias("findings"))
     narrow = rows.select(*id_cols, "blob")

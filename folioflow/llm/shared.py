@@ -56,7 +56,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and return the written table."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("mapreduce.fileoutputcommitter.marksuccessfuljobs", "false").parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written._folioflow_path = path
     return written

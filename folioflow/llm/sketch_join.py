@@ -387,7 +387,7 @@ class ParitySketchJoin:
                     )
             give_back()
 
-        return materialize(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"), "sets")
+        return keep(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"))
 
     def _shared(self) -> DataFrame:
         """(key, cid, center, m): members of all buckets with two sets or more that share enough keys, and how many."""
