@@ -12,6 +12,9 @@ from pyspark.sql import functions as F
 #: The word characters of the token pattern (Vietnamese and ASCII).
 TOKEN_CHARS = "a-zA-Z0-9_àáảãạăắằẳẵặâấầẩẫậèéẻẽẹêếềểễệđìíỉĩịòóỏõọôốồổỗộơớờởỡợùúủũụưứừửữựỳýỷỹỵ"
 TOKEN = f"[{TOKEN_CHARS}]+(?:[,.][{TOKEN_CHARS}%]+)*%?"
+#: The same characters in lower case with the block of U+1EA1 as a range: Java tries the members of a class one by one.
+LOWER_CHARS = "a-z0-9_àáãâèéêìíòóõôùúý\u1ea1-\u1ef9ăđĩũơư"
+LOWER_TOKEN = f"[{LOWER_CHARS}]+(?:[,.][{LOWER_CHARS}%]+)*%?"
 EDGE_SPACE = r"(?U)\A[\s\x1c-\x1f]+|[\s\x1c-\x1f]+\z"
 TABLE = r"(?i)<table[\s\S]*?</table>"
 #: Fixed value: marks a heading that goes on from the page before.
@@ -35,7 +38,7 @@ def strip(text: Column) -> Column:
 
 def tokens(text: Column) -> Column:
     """Split a text into lower-case tokens that keep decimals and percentages whole."""
-    return F.regexp_extract_all(F.lower(text), F.lit(TOKEN), F.lit(0))
+    return F.regexp_extract_all(F.lower(text), F.lit(LOWER_TOKEN), F.lit(0))
 
 
 def token_set(text: Column) -> Column:

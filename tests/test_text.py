@@ -29,3 +29,10 @@ def test_json_with_fences_and_prose(spark):
 def test_contextual_text_takes_null_as_empty(spark):
     got = spark.createDataFrame([("a", None, "h", "x")], "a string, b string, c string, d string").select(T.contextual_text(F.col("a"), F.col("b"), F.col("c"), F.col("d"))).first()[0]
     assert got == "Chương: a | Mục:  | Tiêu đề: h\n\nx"
+
+
+def test_lower_token_characters_are_the_same():
+    import re
+
+    every = "".join(chr(c) for c in range(1, 0x2000)).lower()
+    assert re.findall(T.LOWER_TOKEN, every) == re.findall(T.TOKEN, every)
