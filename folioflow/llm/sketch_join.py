@@ -26,9 +26,11 @@ smallest member of the buckets that it shares most often.  Then buckets of up to
 ``SMALL_BUCKET`` sets offer their pairs of different components.  Of larger ones only
 those that still hold several components are looked at, and in them only pairs of
 one member outside the bucket's largest component with any member of another
-component: first the closest partner of each member, in the end all pairs that the
-sketch allows, so the components are exact.  Large buckets are dealt out in blocks
-of members, and a key that many sets of a task have is not gathered to be found.
+component: first, in a few small buckets of each member, its closest partner, in the
+end all pairs that the sketch allows, so the components are exact.  As a linked
+pair shares ``m`` keys, a set leaves ``m - 1`` of them out, those of the largest
+buckets.  Large buckets are dealt out in blocks of members, and a key that many sets
+of a task have is not gathered to be found.
 
 Defined edge cases: null and empty texts have the empty set, size 0, and link
 with nothing; texts with fewer than ``width`` words have one shingle, the whole
@@ -70,8 +72,8 @@ ROWS_PER_BLOCK = 256
 ROWS_PER_GROUP = 8192
 #: 64-bit words of sketches that are compared at once.
 WORDS_AT_ONCE = 1 << 20
-#: Rounds in which each member offers its closest partner.
-CLOSEST_ROUNDS = 2
+#: Buckets in which each member offers its closest partner, one a round.
+CLOSEST_ROUNDS = 4
 
 
 def shingle_sets(texts: Texts, width: int) -> list[np.ndarray]:
@@ -278,6 +280,7 @@ def _split_pairs(num: int, den: int, closest: bool):
     """
 
     def meet(major: dict[str, np.ndarray], minor: dict[str, np.ndarray]) -> Iterator[np.ndarray]:
+        """Yield rows (minor, member, bits in which they differ)."""
         step = max(1, WORDS_AT_ONCE // max(1, len(major["n"]) * major["sketch"].shape[1]))
         for i in range(0, len(minor["n"]), step):
             x = {k: v[i : i + step] for k, v in minor.items()}
@@ -287,11 +290,12 @@ def _split_pairs(num: int, den: int, closest: bool):
             if closest:
                 far[~ok] = 1 << 40
                 best = far.argmin(axis=1)
-                rows = np.flatnonzero(far[np.arange(len(best)), best] < 1 << 40)
-                yield np.stack([x["cid"][rows], major["cid"][best[rows]]], 1)
+                least = far[np.arange(len(best)), best]
+                rows = np.flatnonzero(least < 1 << 40)
+                yield np.stack([x["cid"][rows], major["cid"][best[rows]], least[rows]], 1)
             else:
                 a, b = np.nonzero(ok)
-                yield np.stack([x["cid"][a], major["cid"][b]], 1)
+                yield np.stack([x["cid"][a], major["cid"][b], far[a, b]], 1)
 
     def run(table: pa.Table) -> pa.Table:
         names = ("key", "i", "j", "minor", "cid", "label", "n")
@@ -301,7 +305,7 @@ def _split_pairs(num: int, den: int, closest: bool):
         col = {k: v[order] for k, v in col.items()}
         cut = (col["key"][1:] != col["key"][:-1]) | (col["i"][1:] != col["i"][:-1]) | (col["j"][1:] != col["j"][:-1])
         first = np.flatnonzero(np.concatenate([[True], cut]))
-        found = [np.empty((0, 2), np.int64)]
+        found, offers = [np.empty((0, 2), np.int64)], []
         for i, j in zip(first.tolist(), np.append(first[1:], len(order)).tolist()):
             block = {k: col[k][i:j] for k in ("cid", "label", "n", "minor")}
             block["sketch"] = unpacked([sketches[r] for r in order[i:j].tolist()])
@@ -310,7 +314,14 @@ def _split_pairs(num: int, den: int, closest: bool):
             minor, major = ({k: v[pick] for k, v in block.items()} for pick in (own > 0, own < 2))
             if len(minor["n"]) and len(major["n"]):
                 got = np.concatenate(list(meet(major, minor)))
-                found.append(np.unique(np.sort(got, axis=1), axis=0))
+                if closest:
+                    offers.append(got)
+                else:
+                    found.append(np.unique(np.sort(got[:, :2], axis=1), axis=0))
+        if offers:  # the closest of all blocks of the group that a member asks in
+            got = np.concatenate(offers)
+            got = got[np.lexsort((got[:, 1], got[:, 2], got[:, 0]))]
+            found.append(np.sort(got[np.concatenate([[True], got[1:, 0] != got[:-1, 0]])][:, :2], axis=1) if len(got) else got[:, :2])
         pairs = np.unique(np.concatenate(found), axis=0)
         return pa.table({"a": pairs[:, 0], "b": pairs[:, 1]})
 
@@ -390,7 +401,10 @@ class ParitySketchJoin:
         return keep(self.docs.withColumn("h", _text_hash(F.col("text"))).mapInArrow(run, "doc_id long, h long, cid long, n long"))
 
     def _shared(self) -> DataFrame:
-        """(key, cid, center, m): members of all buckets with two sets or more that share enough keys, and how many."""
+        """(key, cid, band, need, center, m): members of all buckets with two sets or more that share enough keys.
+
+        ``need`` is how many keys of the band a linked pair shares, ``m`` how many members the bucket has.
+        """
         width, num, den = self.width, self.num, self.den
         total = self.sets.agg(F.sum("n")).first()[0] or 0
         buckets = max(64, math.ceil(3 * (den - num) / (den + num) * total / KEYS_PER_BUCKET))
@@ -423,14 +437,24 @@ class ParitySketchJoin:
         need = F.element_at(F.array(*(F.lit(bands.common(i)) for i in range(top + 1))), F.col("band") + 1)
         strong = found.groupBy("cid", "band").agg(F.count("*").alias("own")).where(F.col("own") >= need).select("cid", "band")
         # A copy of a known key's row may have come from several flushes.
-        left = keep(found.join(strong, ["cid", "band"]).select("key", "cid").distinct())
+        left = keep(found.join(strong, ["cid", "band"]).select("key", "cid", "band", need.cast("int").alias("need")).distinct())
         discard(found)
         # Written before the join, so that a key with many members can be split.
         keys = materialize(left.groupBy("key").agg(F.min("cid").alias("center"), F.count("*").alias("m")).where("m > 1"), "keys")
-        shared = materialize(left.join(keys, "key").select("key", "cid", "center", "m"), "shared")
-        discard(left, keys)
+        shared = keep(left.join(keys, "key").select("key", "cid", "band", "need", "center", "m"))
+        discard(left)
         return shared
 
+    @staticmethod
+    def _prefix(shared: DataFrame) -> DataFrame:
+        """(key, cid, m) without ``need - 1`` keys of each set and band: of all in one order, the first common key stays.
+
+        The order is by the members of the bucket, so the largest ones go.
+        """
+        own = Window.partitionBy("cid", "band")
+        ranked = shared.withColumn("place", F.row_number().over(own.orderBy("m", "key"))).withColumn("own", F.count("*").over(own))
+        return ranked.where(F.col("place") <= F.col("own") - F.col("need") + 1).select("key", "cid", "m")
+
     def _members(self, shared: DataFrame) -> DataFrame:
         """(cid, n, tokens, sketch) of the sets in ``shared``."""
         width, num, den = self.width, self.num, self.den
@@ -489,26 +513,20 @@ class ParitySketchJoin:
         self.members = self._members(shared)
         often = shared.where("cid != center").groupBy("cid", "center").agg(F.count("*").alias("c"))
         first = often.groupBy("cid").agg(F.max_by("center", F.struct("c", -F.col("center"))).alias("a"))
+        full, shared = shared, materialize(self._prefix(shared), "shared")
         tested = materialize(first.select(F.least("a", "cid").alias("a"), F.greatest("a", "cid").alias("b")).distinct(), "tested")
+        discard(full)
         links = self._verify(tested)
         labels = materialize(connected_components(links).withColumnRenamed("node", "cid"), "labels")
         few = materialize(self._small_pairs(shared.where(F.col("m") <= SMALL_BUCKET), labels).join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = self._merge(labels, self._verify(few))
         tested = tested.union(few)
         large = shared.where(F.col("m") > SMALL_BUCKET)
-        rounds = [True] * CLOSEST_ROUNDS + [False]
-        while rounds:
-            closest = rounds.pop(0)
-            pairs = self._open_pairs(large, labels, closest).join(tested, ["a", "b"], "left_anti")
-            new = materialize(pairs, "pairs")
-            if new.isEmpty():
-                rounds = rounds[-1:] if closest else []
-                continue
-            links = self._verify(new)
-            if closest and links.isEmpty():
-                rounds = rounds[-1:]
-            tested = tested.union(new)
-            labels = self._merge(labels, links)
+        for turn in [*range(CLOSEST_ROUNDS), None]:
+            new = materialize(self._open_pairs(large, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+            if not new.isEmpty():
+                labels = self._merge(labels, self._verify(new))
+                tested = tested.union(new)
         discard(shared, self.members)
         return labels
 
@@ -520,8 +538,8 @@ class ParitySketchJoin:
         right = own.select("key", F.col("cid").alias("b"), F.col("label").alias("lb"))
         return left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb"))).select("a", "b").distinct()
 
-    def _open_pairs(self, shared: DataFrame, labels: DataFrame, closest: bool) -> DataFrame:
-        """Untried pairs (a, b) of different components that share a key."""
+    def _open_pairs(self, shared: DataFrame, labels: DataFrame, turn: int | None) -> DataFrame:
+        """Pairs (a, b) of different components that share a key: all of them, or in a turn the closest of each set in one bucket."""
         own = keep(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
         mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
         left = keep(own.join(mixed, "key", "left_semi"))
@@ -533,17 +551,23 @@ class ParitySketchJoin:
         majors, minors = blocks(F.col("m")), blocks(F.col("m") - F.col("top"))
         at = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), n).cast("int")
         span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        base = x.select("key", "cid", "label", "outside", majors.alias("ni"), minors.alias("nj"))
+        base = x.select("key", "cid", "label", "outside", "m", majors.alias("ni"), minors.alias("nj"))
+        asks = base.where("outside")
+        if turn is not None:
+            # Each member outside asks in one bucket, turn by turn a larger one.
+            by_size = Window.partitionBy("cid").orderBy("m", "key")
+            asks = keep(asks.withColumn("place", F.row_number().over(by_size) - 1).where(F.col("place") == turn).drop("place"))
+            base = base.join(asks.select("key").distinct(), "key", "left_semi")
         as_member = base.select("key", "cid", "label", at(1, F.col("ni")).alias("i"), span(F.col("nj")).alias("j"), F.lit(0).alias("minor"))
-        as_minor = base.where("outside").select("key", "cid", "label", span(F.col("ni")).alias("i"), at(2, F.col("nj")).alias("j"), F.lit(2).alias("minor"))
+        as_minor = asks.select("key", "cid", "label", span(F.col("ni")).alias("i"), at(2, F.col("nj")).alias("j"), F.lit(2).alias("minor"))
         rows = as_member.unionByName(as_minor)
         size = own.sparkSession.conf.get("spark.sql.shuffle.partitions")
         total = stats.agg(F.sum(F.col("m"))).first()[0] or 0
         groups = max(int(size), math.ceil(total / ROWS_PER_GROUP))
         rows = rows.join(self.members.select("cid", "n", "sketch"), "cid").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
-        pairs = rows.groupBy("group").applyInArrow(_split_pairs(self.num, self.den, closest), "a long, b long").distinct()
+        pairs = rows.groupBy("group").applyInArrow(_split_pairs(self.num, self.den, turn is not None), "a long, b long").distinct()
         found = keep(pairs)
-        discard(own, left, stats)
+        discard(own, left, stats, asks)
         return found
 
     @staticmethod
