@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -73,39 +76,114 @@ def rect_pairs(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
     return left.join(right, keys).where(intersects("l_", "r_"))
 
 
+def _spans(first: np.ndarray, r: np.ndarray, c: np.ndarray, x0: np.ndarray, x1: np.ndarray, y1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Return (place, rowspan, colspan) of the cells of whole tables; places come by table, row and column, ``first`` marks a table's first."""
+    t = np.cumsum(first)
+    again = (t[1:] == t[:-1]) & (r[1:] == r[:-1]) & (c[1:] == c[:-1])
+    place = np.flatnonzero(~np.append(again, False) & ~np.isnan(x0))  # of a repeated place the last one counts
+    n = len(place)
+    if not n:
+        return place, place, place
+    t, r, c, x0, x1, y1 = (v[place].astype(np.int64 if v.dtype.kind == "i" else np.float64) for v in (t, r, c, x0, x1, y1))
+    fresh = lambda *keys: np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([k[1:] != k[:-1] for k in keys])]))
+    number = lambda start: np.repeat(np.arange(len(start)), np.diff(np.append(start, n)))
+    far = np.iinfo(np.int64).max
+
+    # Rows of cells, and the next cell in each; columns likewise, in an order of their own.
+    top = fresh(t, r)
+    row, down = number(top), np.lexsort((r, c, t))
+    side = fresh(t[down], c[down])
+    column = np.empty(n, np.int64)
+    column[down] = number(side)
+    right, below = np.full(n, far), np.full(n, far)
+    right[:-1] = np.where(row[1:] == row[:-1], c[1:], far)
+    below[down[:-1]] = np.where(column[down[1:]] == column[down[:-1]], r[down[1:]], far)
+
+    # A column has a rectangle within (low, high) if the least x1 of those from ``low`` on is within.
+    lows = np.unique(x0)
+    by_low = np.lexsort((x0, column))
+    keys = column[by_low] * (len(lows) + 1) + np.searchsorted(lows, x0[by_low])
+    ends = np.append(side[1:], n)
+    least = np.where(np.isnan(x1), np.inf, x1)[by_low][::-1]
+    # Least from the right within each column: ranks that fall from column to column keep them apart.
+    values, rank = np.unique(least, return_inverse=True)
+    back = column[by_low][::-1] * (len(values) + 1)
+    least = values[np.minimum.accumulate(back + rank) - back]
+    least = least[::-1]
+    w = np.ones(n, np.int64)
+    live = np.flatnonzero(right > c + 1)
+    while len(live):
+        g = np.minimum(column[live] + w[live], len(side) - 1)
+        head = down[side[g]]
+        ok = (g == column[live] + w[live]) & (t[head] == t[live]) & (c[head] == c[live] + w[live]) & (right[live] > c[live] + w[live])
+        at = np.searchsorted(keys, g * (len(lows) + 1) + np.searchsorted(lows, x0[live] - FIT))
+        ok &= (at < ends[g]) & (least[np.minimum(at, n - 1)] <= x1[live] + FIT)
+        live = live[ok]
+        w[live] += 1
+
+    bottom = np.maximum.reduceat(y1, top)
+    h = np.ones(n, np.int64)
+    live = np.flatnonzero(below > r + 1)
+    while len(live):
+        g = np.minimum(row[live] + h[live], len(top) - 1)
+        head = top[g]
+        ok = (g == row[live] + h[live]) & (t[head] == t[live]) & (r[head] == r[live] + h[live]) & (below[live] > r[live] + h[live])
+        live = live[ok & (bottom[g] <= y1[live] + FIT)]
+        h[live] += 1
+
+    # Cells inside a block of several rows and columns are covered, unless the block's own cell is.
+    block = np.flatnonzero((h > 1) & (w > 1))
+    own = np.repeat(block, h[block] - 1)
+    inner = row[own] + np.arange(len(own)) - np.repeat(np.cumsum(h[block] - 1) - (h[block] - 1), h[block] - 1) + 1
+    left = int(c.min())
+    width = int(c.max()) - left + 2
+    spots = row * width + (c - left)
+    start = np.searchsorted(spots, inner * width + (c[own] - left), side="right")
+    stop = np.searchsorted(spots, inner * width + np.minimum(c[own] + w[own] - left, width))
+    taken = np.zeros(n, bool)
+    for i in np.flatnonzero(start < stop).tolist():
+        if not taken[own[i]]:
+            taken[start[i] : stop[i]] = True
+    return place[~taken], h[~taken], w[~taken]
+
+
 def topology(cells: DataFrame) -> DataFrame:
     """Return (table_id, r, c, rowspan, colspan) of cells from their rectangles.
 
     ``cells`` is (table_id, r, c, x0, y0, x1, y1), with null rectangles for places
     that another cell covers.  A cell spans the null places to its right whose
     column, where it has a rectangle in some other row, lies within it; it spans
-    rows while the next row's bottom is within it.  Tables are taken one by one in
-    Arrow batches, as covering goes from place to place.
+    rows while the next row's bottom is within it.  Of a repeated place the largest
+    rectangle counts, in the order of its coordinates.  Tables come sorted, and all
+    whole ones of an Arrow batch are worked out at once.
     """
 
-    def one(table: pd.DataFrame) -> pd.DataFrame:
-        at = {(int(x.r), int(x.c)): x for x in table.itertuples()}
-        rows, cols = max(r for r, _ in at) + 1, max(c for _, c in at) + 1
-        real = {k for k, x in at.items() if not pd.isna(x.x0)}
-        bottoms = {r: max((at[r, c].y1 for c in range(cols) if (r, c) in real), default=None) for r in range(rows)}
-        extent = {c: [(at[r, c].x0, at[r, c].x1) for r in range(rows) if (r, c) in real] for c in range(cols)}
-        taken: set[tuple[int, int]] = set()
-        out = []
-        for r, c in sorted(real):
-            if (r, c) in taken:
-                continue
-            x = at[r, c]
-            w = 1
-            while c + w < cols and (r, c + w) not in real and any(a >= x.x0 - FIT and b <= x.x1 + FIT for a, b in extent[c + w]):
-                w += 1
-            h = 1
-            while r + h < rows and (r + h, c) not in real and bottoms[r + h] is not None and bottoms[r + h] <= x.y1 + FIT:
-                h += 1
-            taken |= {(r + i, c + j) for i in range(h) for j in range(w)}
-            out.append((x.table_id, r, c, h, w))
-        return pd.DataFrame(out, columns=["table_id", "r", "c", "rowspan", "colspan"])
-
-    return cells.groupBy("table_id").applyInPandas(one, "table_id long, r int, c int, rowspan int, colspan int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def spans(table: pa.Table) -> pa.RecordBatch:
+            col = lambda name: table.column(name).to_numpy()
+            numbers = lambda name: col(name).astype(np.float64)
+            place, h, w = _spans(col("nth") == 1, col("r"), col("c"), numbers("x0"), numbers("x1"), numbers("y1"))
+            own = table.select(["table_id", "r", "c"]).take(pa.array(place)).combine_chunks()
+            columns = [own.column(i).combine_chunks() for i in range(3)]
+            return pa.RecordBatch.from_arrays([*columns, pa.array(h, pa.int32()), pa.array(w, pa.int32())], names=["table_id", "r", "c", "rowspan", "colspan"])
+
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            starts = np.flatnonzero(batch.column("nth").to_numpy() == 1)
+            if len(starts):
+                cut = int(starts[-1])  # what follows belongs to a table that may go on in the next batch
+                whole = [b for b in (*held, batch.slice(0, cut)) if b.num_rows]
+                if whole:
+                    yield spans(pa.Table.from_batches(whole))
+                held, batch = [], batch.slice(cut)
+            held.append(batch)
+        if held:
+            yield spans(pa.Table.from_batches(held))
+
+    order = Window.partitionBy("table_id").orderBy("r", "c", "x0", "y0", "x1", "y1")
+    known = cells.where(F.col("r").isNotNull() & F.col("c").isNotNull()).select(F.col("table_id").cast("long").alias("table_id"), F.col("r").cast("int").alias("r"), F.col("c").cast("int").alias("c"), "x0", "y0", "x1", "y1")
+    ranked = known.select("table_id", "r", "c", "x0", "x1", "y1", F.row_number().over(order).alias("nth"))
+    return ranked.mapInArrow(run, "table_id long, r int, c int, rowspan int, colspan int")
 
 
 def header_rows(spans: DataFrame, hint: int = 1) -> DataFrame:

@@ -290,7 +290,7 @@ def html_heading_text(spark: SparkSession, d: str) -> DataFrame:
 
 def table_topology(spark: SparkSession, d: str) -> DataFrame:
     """Spans of a grid of cells made of every order's lines; each second place of a row is covered."""
-    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").distinct()
+    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber").repartition("l_orderkey").distinct()  # one shuffle serves the tables too
     r, c = F.floor((F.col("l_linenumber") - 1) / 2).cast("int"), ((F.col("l_linenumber") - 1) % 2).cast("int")
     covered = (c == 1) & (r % 2 == 0)
     at = lambda x: F.when(~covered, x.cast("double"))

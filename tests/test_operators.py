@@ -1,5 +1,7 @@
 """Contents, layout, pages, enrichment, tables, evaluation, chat, providers."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -87,6 +89,48 @@ def test_tables(spark):
     assert tables.header_rows(spans).first()["header_rows"] == 1
 
 
+def _plain_spans(places):
+    """(r, c, rowspan, colspan) of one table, place by place; ``places`` has (r, c) and (x0, x1, y1) or None."""
+    real = {k: v for k, v in places.items() if v}
+    taken, out = set(), []
+    for (r, c), (x0, x1, y1) in sorted(real.items()):
+        if (r, c) in taken:
+            continue
+        w = h = 1
+        while (r, c + w) not in real and any(k[1] == c + w and a >= x0 - tables.FIT and b <= x1 + tables.FIT for k, (a, b, _) in real.items()):
+            w += 1
+        while (r + h, c) not in real and any(k[0] == r + h for k in real) and max(v[2] for k, v in real.items() if k[0] == r + h) <= y1 + tables.FIT:
+            h += 1
+        taken |= {(r + i, c + j) for i in range(h) for j in range(w)}
+        out.append((r, c, h, w))
+    return out
+
+
+def test_topology_of_many_tables(spark):
+    rng = random.Random(4)
+    near = lambda x: x + rng.choice((0.0, 1.0, -1.0, 2.0))
+    known = {}
+    for table in range(500):
+        at = [(r, c) for r in range(rng.randint(1, 5)) for c in range(rng.randint(1, 5)) if rng.random() < 0.9] or [(0, 0)]
+        share = rng.choice((0.2, 0.5, 0.8))
+        known[table] = {(r, c): None if rng.random() < share else (near(10.0 * c), near(10.0 * c + rng.choice((10, 20, 30))), near(10.0 * r + rng.choice((10, 20, 30)))) for r, c in at}
+    # A table that goes on over many Arrow batches, and one without an id.
+    known[500] = {(r, c): None if c == 1 and r % 2 == 0 else (10.0 * c, 20.0 if r % 2 == 0 else 10.0 * c + 10, 10.0 * r + 10) for r in range(8000) for c in range(2)}
+    known[None] = {(0, 0): (0.0, 10.0, 20.0), (1, 0): None, (1, 1): (10.0, 20.0, 20.0)}
+    rows = [(t, r, c, *((v[0], 0.0, *v[1:]) if v else [None] * 4)) for t, places in known.items() for (r, c), v in places.items()]
+    rng.shuffle(rows)
+    cells = spark.createDataFrame(rows, "table_id long, r int, c int, x0 double, y0 double, x1 double, y1 double")
+    plan = tables.topology(cells)._jdf.queryExecution().toString()
+    assert "FlatMapGroups" not in plan  # no call for each table
+    got = {}
+    for x in tables.topology(cells).collect():
+        got.setdefault(x.table_id, []).append((x.r, x.c, x.rowspan, x.colspan))
+    small = [t for t in known if t != 500]
+    assert {t: sorted(got.get(t, [])) for t in small} == {t: _plain_spans(known[t]) for t in small}
+    assert sorted(got[500]) == [(r, c, 1, 2 if r % 2 == 0 else 1) for r in range(8000) for c in range(2) if r % 2 or not c]
+    assert tables.topology(cells.limit(0)).count() == 0
+
+
 def test_chat(spark):
     turns = spark.createDataFrame([("s", i, "user" if i % 2 == 0 else "model", f"t{i}") for i in range(6)], "session_id string, turn int, role string, text string")
     got = [r.history for r in chat.history(turns).orderBy("turn").collect()]
