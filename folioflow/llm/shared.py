@@ -69,7 +69,7 @@ def keep(df: DataFrame) -> DataFrame:
     written by materialize().
     """
     kept = df.persist(StorageLevel.DISK_ONLY)
-    kept.count()
+    kept._folioflow_rows = kept.count()
     return kept
 
 

@@ -518,12 +518,17 @@ class ParitySketchJoin:
         discard(full)
         links = self._verify(tested)
         labels = materialize(connected_components(links).withColumnRenamed("node", "cid"), "labels")
+        discard(links)
         few = materialize(self._small_pairs(shared.where(F.col("m") <= SMALL_BUCKET), labels).join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = self._merge(labels, self._verify(few))
         tested = tested.union(few)
         large = shared.where(F.col("m") > SMALL_BUCKET)
         for turn in [*range(CLOSEST_ROUNDS), None]:
-            new = materialize(self._open_pairs(large, labels, turn).join(tested, ["a", "b"], "left_anti"), "pairs")
+            open_pairs = self._open_pairs(large, labels, turn)
+            if not open_pairs._folioflow_rows:
+                continue
+            new = materialize(open_pairs.join(tested, ["a", "b"], "left_anti"), "pairs")
+            discard(open_pairs)
             if not new.isEmpty():
                 labels = self._merge(labels, self._verify(new))
                 tested = tested.union(new)
@@ -572,13 +577,17 @@ class ParitySketchJoin:
 
     @staticmethod
     def _merge(labels: DataFrame, links: DataFrame) -> DataFrame:
-        """Bring labels up to date with new links: components of the labels that they join."""
+        """Bring labels up to date with new links (of keep()): components of the labels that they join."""
+        if not links._folioflow_rows:
+            return labels
         known = lambda name: labels.select(F.col("cid").alias(name), F.col("label").alias("label_" + name))
         edges = links.join(known("a"), "a", "left").join(known("b"), "b", "left").select(F.coalesce("label_a", "a").alias("a"), F.coalesce("label_b", "b").alias("b"))
         joined = keep(connected_components(edges).withColumnRenamed("label", "new"))
         moved = labels.join(joined, labels["label"] == joined["node"], "left").select("cid", F.coalesce("new", "label").alias("label"))
         fresh = joined.select(F.col("node").alias("cid"), F.col("new").alias("label")).join(labels.select("cid"), "cid", "left_anti")
-        return materialize(moved.union(fresh).distinct(), "labels")
+        merged = materialize(moved.union(fresh).distinct(), "labels")
+        discard(joined, links, labels)
+        return merged
 
     def _labelled(self) -> DataFrame:
         """(doc_id, h, cid, n, label): the label is null for empty sets."""

@@ -5,7 +5,9 @@ import re
 
 import pytest
 
+from folioflow.llm import components
 from folioflow.llm.components import connected_components
+from folioflow.llm.shared import materialize
 from folioflow.llm.sketch_join import Bands, ParitySketchJoin, jaccard_components
 
 SCHEMA = "doc_id long, text string, n string, cid string"
@@ -109,3 +111,20 @@ def test_components(spark):
     labels = {r.node: r.label for r in got.collect()}
     assert {labels[i] for i in range(41)} == {0} and labels[101] == 100 and labels[200] == 150 and labels[170] == 150
     assert connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+@pytest.mark.parametrize("bound", [0, 1 << 18])
+def test_components_write_few_tables(spark, monkeypatch, bound):
+    r = random.Random(6)
+    edges = [(r.randrange(-400, 400), r.randrange(-400, 400)) for _ in range(500)] + [(1000 + i, 1001 + i) for i in range(60)]
+    label = {x: x for e in edges if e[0] != e[1] for x in e}
+    while any(label[a] != label[b] for a, b in edges if a != b):
+        for a, b in edges:
+            if a != b:
+                label[a] = label[b] = min(label[a], label[b])
+    wrote = []
+    monkeypatch.setattr(components, "ONE_TASK_EDGES", bound)
+    monkeypatch.setattr(components, "materialize", lambda df, name: wrote.append(name) or materialize(df, name))
+    got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
+    assert {x.node: x.label for x in got} == label and len(got) == len(label)
+    assert len(wrote) == 1 if bound else len(wrote) > 3  # a few edges take no rounds
