@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -169,6 +170,25 @@ def test_ranking(spark):
     assert {x.score for x in flat.collect()} == {0.5}
 
 
+def test_ranking_learns_from_all_labels(spark):
+    r = random.Random(12)
+    rows = [(i, " ".join((f"W{r.randrange(900)}!!" if i % 40 == 0 else f"word{r.randrange(900)}") for _ in range(r.randrange(5, 60)))) for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    labels = spark.createDataFrame([(i, int(i % 40 != 0)) for i in range(2000)], "doc_id long, quality int")
+    got = pair_rank.fit(docs, labels, rows=300)  # of a sample of 300 rows, seven or so would be bad ones
+    known = [(i, t) for i, t in rows if zlib.crc32(str(i).encode()) % 4 != 2]
+    x = np.concatenate([pair_rank.features(t) for _, _, t in slices(pa.array([t for _, t in known]))])
+    good = np.array([i % 40 != 0 for i, _ in known])
+    assert all(np.allclose(c, np.unique(np.quantile(x[:, k], pair_rank.LEVELS)), rtol=1e-12, atol=0) for k, c in enumerate(got.cuts))
+    assert np.isclose(got.threshold, np.quantile(got.sums(x), 1 - good.mean()), rtol=1e-12, atol=0)
+    assert got.slope == pytest.approx(pair_rank.Ranker._steepness(got.sums(x) - got.threshold, good))
+    assert ((got.score(x) >= pair_rank.CUT) != good).sum() <= 3
+    # In a block every row is in a pair, however many there are.
+    many = np.arange(2000.0)[:, None]
+    few = pair_rank.Ranker(many, many[:, 0] % 100 > 0, pairs=10)
+    assert few.ready and np.isfinite(few.weights).all() and (few.weights != 0).all()
+
+
 def test_tokens_equal_library(spark):
     agenda = piece_bpe.Agenda(tokenizer_model())
     sp = agenda.library
