@@ -23,14 +23,17 @@ link, and the exact check of the token sets has the last word.
 
 Candidates are not expanded to all pairs.  Each set is first tried with the
 smallest member of the buckets that it shares most often.  Then buckets of up to
-``SMALL_BUCKET`` sets offer their pairs of different components.  Of larger ones only
-those that still hold several components are looked at, and in them only pairs of
+``SMALL_BUCKET`` sets offer their pairs of different components.  Larger ones that have
+their most shared member in common, as those of one group of near copies do, are one
+bucket, unless that makes more pairs.  Only those that still hold several components are
+looked at, and in them only pairs of
 one member outside the bucket's largest component with any member of another
 component: first, in a few small buckets of each member, its closest partner, in the
 end all pairs that the sketch allows, so the components are exact.  As a linked
 pair shares ``m`` keys, a set leaves ``m - 1`` of them out, those of the largest
-buckets.  Large buckets are dealt out in blocks of members, and a key that many sets
-of a task have is not gathered to be found.
+buckets.  Large buckets are dealt out in blocks of members, to a square of blocks with
+no more sides than the tasks need, and a key that many sets of a task have is not
+gathered to be found.
 
 Defined edge cases: null and empty texts have the empty set, size 0, and link
 with nothing; texts with fewer than ``width`` words have one shingle, the whole
@@ -67,7 +70,7 @@ LEAST_FILTER, MOST_FILTER = 1 << 12, 1 << 21
 SKETCH_BITS, MOST_BITS = 12, 1 << 16
 #: Members up to which a bucket offers all its pairs.
 SMALL_BUCKET = 8
-#: Members of a bucket that are compared in one place, and rows that such places hold on average.
+#: Members of a bucket that are compared in one place (more in buckets of more blocks than tasks), and rows that such places hold on average.
 ROWS_PER_BLOCK = 256
 ROWS_PER_GROUP = 8192
 #: 64-bit words of sketches that are compared at once.
@@ -447,13 +450,32 @@ class ParitySketchJoin:
 
     @staticmethod
     def _prefix(shared: DataFrame) -> DataFrame:
-        """(key, cid, m) without ``need - 1`` keys of each set and band: of all in one order, the first common key stays.
+        """(key, cid, band, m) without ``need - 1`` keys of each set and band: of all in one order, the first common key stays.
 
         The order is by the members of the bucket, so the largest ones go.
         """
         own = Window.partitionBy("cid", "band")
         ranked = shared.withColumn("place", F.row_number().over(own.orderBy("m", "key"))).withColumn("own", F.count("*").over(own))
-        return ranked.where(F.col("place") <= F.col("own") - F.col("need") + 1).select("key", "cid", "m")
+        return ranked.where(F.col("place") <= F.col("own") - F.col("need") + 1).select("key", "cid", "band", "m")
+
+    @staticmethod
+    def _joined_buckets(shared: DataFrame) -> DataFrame:
+        """(key, cid): buckets of a band with the same hub, their most shared member, as one, where that makes fewer pairs.
+
+        Sets that share a bucket still do, so no pair is lost; the near copies of a text
+        meet in a few buckets, instead of once for each key that most of them have.
+        """
+        own = shared.groupBy("cid").agg(F.count("*").alias("own"))
+        hub = F.max_by("cid", F.struct("own", "cid")).alias("hub")
+        # Written before the joins, so that a key with many members can be split.
+        keys = materialize(shared.join(own, "cid").groupBy("key", "band").agg(hub, F.count("*").cast("double").alias("c")), "keys")
+        together = shared.select("key", "cid").join(keys, "key").select("hub", "band", "cid").distinct().groupBy("hub", "band").agg(F.count("*").cast("double").alias("c"))
+        apart = keys.groupBy("hub", "band").agg(F.sum(F.col("c") * F.col("c")).alias("pairs"))
+        fewer = apart.join(together, ["hub", "band"]).where("c * c <= pairs").select("hub", "band", F.xxhash64("hub", "band").alias("name"))
+        names = materialize(keys.join(fewer, ["hub", "band"], "left").select("key", F.coalesce("name", "key").alias("name")), "names")
+        joined = materialize(shared.select("key", "cid").join(names, "key").select(F.col("name").alias("key"), "cid").distinct(), "shared")
+        discard(keys, names)
+        return joined
 
     def _members(self, shared: DataFrame) -> DataFrame:
         """(cid, n, tokens, sketch) of the sets in ``shared``."""
@@ -522,7 +544,8 @@ class ParitySketchJoin:
         few = materialize(self._small_pairs(shared.where(F.col("m") <= SMALL_BUCKET), labels).join(tested, ["a", "b"], "left_anti"), "pairs")
         labels = self._merge(labels, self._verify(few))
         tested = tested.union(few)
-        large = shared.where(F.col("m") > SMALL_BUCKET)
+        large = self._joined_buckets(shared.where(F.col("m") > SMALL_BUCKET))
+        discard(shared)
         for turn in [*range(CLOSEST_ROUNDS), None]:
             open_pairs = self._open_pairs(large, labels, turn)
             if not open_pairs._folioflow_rows:
@@ -532,7 +555,7 @@ class ParitySketchJoin:
             if not new.isEmpty():
                 labels = self._merge(labels, self._verify(new))
                 tested = tested.union(new)
-        discard(shared, self.members)
+        discard(large, self.members)
         return labels
 
     @staticmethod
@@ -546,17 +569,19 @@ class ParitySketchJoin:
     def _open_pairs(self, shared: DataFrame, labels: DataFrame, turn: int | None) -> DataFrame:
         """Pairs (a, b) of different components that share a key: all of them, or in a turn the closest of each set in one bucket."""
         own = keep(shared.select("key", "cid").join(labels, "cid", "left").select("key", "cid", F.coalesce("label", "cid").alias("label")))
-        mixed = own.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x != y").select("key")
-        left = keep(own.join(mixed, "key", "left_semi"))
-        counts = left.groupBy("key", "label").agg(F.count("*").alias("c"))
+        counts = own.groupBy("key", "label").agg(F.count("*").alias("c"))
         stats = counts.groupBy("key").agg(F.max_by("label", F.struct("c", "label")).alias("main"), F.sum("c").alias("m"), F.max("c").alias("top"))
-        stats = materialize(stats, "stats")  # written before the join, so that a key with many members can be split
-        x = left.join(stats, "key").withColumn("outside", F.col("label") != F.col("main"))
-        blocks = lambda n: F.ceil(n / ROWS_PER_BLOCK).cast("int")
+        stats = materialize(stats.where("top < m"), "stats")  # written before the join, so that a key with many members can be split
+        x = own.join(stats, "key").withColumn("outside", F.col("label") != F.col("main"))
+        size = own.sparkSession.conf.get("spark.sql.shuffle.partitions")
+        total = stats.agg(F.sum(F.col("m"))).first()[0] or 0
+        groups = max(int(size), math.ceil(total / ROWS_PER_GROUP))
+        side = math.ceil(math.sqrt(groups))  # so many blocks a side give every group one; more would only repeat rows
+        blocks = lambda n: F.least(F.ceil(n / ROWS_PER_BLOCK), F.lit(side)).cast("int")
         majors, minors = blocks(F.col("m")), blocks(F.col("m") - F.col("top"))
         at = lambda salt, n: F.pmod(F.xxhash64("cid", F.lit(salt)), n).cast("int")
         span = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
-        base = x.select("key", "cid", "label", "outside", "m", majors.alias("ni"), minors.alias("nj"))
+        base = left = keep(x.select("key", "cid", "label", "outside", "m", majors.alias("ni"), minors.alias("nj")))
         asks = base.where("outside")
         if turn is not None:
             # Each member outside asks in one bucket, turn by turn a larger one.
@@ -566,9 +591,6 @@ class ParitySketchJoin:
         as_member = base.select("key", "cid", "label", at(1, F.col("ni")).alias("i"), span(F.col("nj")).alias("j"), F.lit(0).alias("minor"))
         as_minor = asks.select("key", "cid", "label", span(F.col("ni")).alias("i"), at(2, F.col("nj")).alias("j"), F.lit(2).alias("minor"))
         rows = as_member.unionByName(as_minor)
-        size = own.sparkSession.conf.get("spark.sql.shuffle.partitions")
-        total = stats.agg(F.sum(F.col("m"))).first()[0] or 0
-        groups = max(int(size), math.ceil(total / ROWS_PER_GROUP))
         rows = rows.join(self.members.select("cid", "n", "sketch"), "cid").withColumn("group", F.pmod(F.xxhash64("key", "i", "j"), F.lit(groups)))
         pairs = rows.groupBy("group").applyInArrow(_split_pairs(self.num, self.den, turn is not None), "a long, b long").distinct()
         found = keep(pairs)

@@ -5,7 +5,7 @@ import re
 
 import pytest
 
-from folioflow.llm import components
+from folioflow.llm import components, sketch_join
 from folioflow.llm.components import connected_components
 from folioflow.llm.shared import materialize
 from folioflow.llm.sketch_join import Bands, ParitySketchJoin, jaccard_components
@@ -128,3 +128,35 @@ def test_components_write_few_tables(spark, monkeypatch, bound):
     got = connected_components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert {x.node: x.label for x in got} == label and len(got) == len(label)
     assert len(wrote) == 1 if bound else len(wrote) > 3  # a few edges take no rounds
+
+
+def near_copies(n):
+    """Half of the texts are close to one text and link; half are further off, link with none, and share keys with all."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(300)]
+    rows = []
+    for i in range(n):
+        gone = set(r.sample(range(300), r.randint(8, 12) if i % 2 else r.randint(40, 44)))
+        rows.append((i, " ".join(f"x{i}_{j}" if j in gone else w for j, w in enumerate(base))))
+    return rows
+
+
+def test_rows_compared_grow_with_a_group(spark, monkeypatch):
+    make, made = sketch_join._split_pairs, spark.sparkContext.accumulator(0)
+
+    def counting(*args):
+        run = make(*args)
+
+        def counted(table):
+            made.add(table.num_rows)
+            return run(table)
+
+        return counted
+
+    monkeypatch.setattr(sketch_join, "_split_pairs", counting)
+    monkeypatch.setattr(sketch_join, "ROWS_PER_BLOCK", 8)
+    rows = near_copies(160)
+    df = spark.createDataFrame([(i, t, "x", "y") for i, t in rows], SCHEMA)
+    got = jaccard_components(df, width=1, num=80, den=100).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute(rows, 1, 80, 100)
+    assert 0 < made.value <= 100 * len(rows)  # not once for each key and block of its group, which is 1100 times
